@@ -6,8 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import mixing
-from tideline.llm.common import table
+from tideline.llm import media, mixing
+from tideline.llm.common import fresh_path, table
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an image in an archive of the shared folder, read back by byte ranges."""
+    path = fresh_path(spark, "archives")
+    media.write_archives(table(spark, sf_dir, "documents"), path)
+    return media.media_features(media.read_archives(spark, path))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +33,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
+    "op9_media": op9_media,
     "op10_bpe": op10_bpe,
 }
 
