@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import media, mixing
+from tideline.llm import licenses, media, mixing
 from tideline.llm.common import fresh_path, table
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and accepted license templates of every document."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as an image in an archive of the shared folder, read back by byte ranges."""
     path = fresh_path(spark, "archives")
@@ -33,6 +38,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
+    "op8_licenses": op8_licenses,
     "op9_media": op9_media,
     "op10_bpe": op10_bpe,
 }
