@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import licenses, media, mixing, quality, simhash
+from tideline.llm import licenses, media, mixing, quality, simhash, substrings
 from tideline.llm.common import fold_of, fresh_path, table
 
 
@@ -38,6 +38,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to passages of documents with smaller ids."""
+    return substrings.removed(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by a model of positives and unlabelled texts."""
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +57,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,
     "op8_licenses": op8_licenses,
