@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import licenses, media, mixing, quality, simhash, substrings
+from tideline.llm import licenses, media, mixing, ngrams, quality, simhash, substrings
 from tideline.llm.common import fold_of, fresh_path, table
 
 
+def op7_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents by a model of six in seven of them."""
+    return ngrams.score(table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and accepted license templates of every document."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
     "op6_mixing": op6_mixing,
+    "op7_ngrams": op7_ngrams,
     "op8_licenses": op8_licenses,
     "op9_media": op9_media,
     "op10_bpe": op10_bpe,
