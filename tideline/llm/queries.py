@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import licenses, media, mixing, neighbours, ngrams, quality, simhash, substrings
+from tideline.llm import licenses, media, mixing, neighbours, ngrams, order, quality, simhash, substrings
 from tideline.llm.common import fold_of, fresh_path, table
 
 
@@ -61,6 +61,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of token ids of all documents, as stored in the shards in training order."""
+    import public_tokenizers
+
+    return order.training_order(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mix of all sources takes."""
     return mixing.plan_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -71,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_substrings": op3_substrings,
     "op4_quality": op4_quality,
+    "op5_order": op5_order,
     "op6_mixing": op6_mixing,
     "op7_ngrams": op7_ngrams,
     "op8_licenses": op8_licenses,
