@@ -184,11 +184,11 @@ def fingerprint_text(fp: Column) -> Column:
 def kept(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, once.
 
-    Of repeated rows with that doc_id the one first by text stays. A component of null ids alone keeps one row.
+    Of several rows with that doc_id one of the smallest text hash stays; of rows that are wholly equal, one. A
+    component of null ids alone keeps one row. Only ids and hashes are compared: texts are read again at the end.
     """
-    columns = list(docs.columns)
-    rest = [c for c in columns if c != "doc_id"]
-    found = near_duplicates(docs.select("doc_id", *rest), rest, distance)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = first.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min(F.struct(*rest)).alias("_row"))
-    return one.select(*(F.col("component_id").alias("doc_id") if c == "doc_id" else F.col(f"_row.{c}").alias(c) for c in columns))
+    key = F.xxhash64("text")
+    found = near_duplicates(docs.withColumn("_key", key), ["_key"], distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min("_key").alias("_k")).select(F.col("component_id").alias("_id"), "_k")
+    back = docs.withColumn("_key", key).join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
+    return back.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
