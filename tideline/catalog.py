@@ -11,8 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.engine import Engine
-from tideline.sources.tables import EPOCH, stores
+from tideline.engine import Engine, result_rows
+from tideline.functions import labels as L
+from tideline.rules import AlertRule, RecordingRule, alert_states, record
+from tideline.sources.exposition import parse_lines, scraped
+from tideline.sources.store import store_of
+from tideline.sources.tables import EPOCH, millis, stores
+from tideline.sources.wide import from_wide
 
 DAY, HOUR = 86_400_000, 3_600_000
 #: 2024-01-02 to 2024-01-29, by hours and by quarter days; all days of the orders by weeks.
@@ -200,3 +205,103 @@ _LONG = f"WITH {_grid(COARSE)}, {EV}, {_window(DAY)} "
 add("bench_avg_day", "event_value", "avg_over_time(event_value[1d])", "event_type", COARSE, _LONG + "SELECT event_type, t, round(avg(value), 4) + 0.0 AS value FROM w GROUP BY 1, 2")
 add("bench_sum_filtered", "event_value", 'sum_over_time(event_value{event_type="view"}[1d]) + on() sum_over_time(event_value{event_type="error"}[1d]) + on() sum_over_time(event_value{event_type="click"}[1d]) + on() sum_over_time(event_value{event_type="signup"}[1d])', "", COARSE, _LONG + "SELECT t, round(sum(value), 4) + 0.0 AS value FROM w WHERE event_type IN ('view', 'error', 'click', 'signup') GROUP BY 1 HAVING count(DISTINCT event_type) = 4")
 add("bench_max_rate", "event_total", "max(rate(event_total[3h]))", "", HOURLY, f"SELECT t, max(value) AS value FROM ({_rate(True, 3 * HOUR, ' / 10800.0::DOUBLE')}) GROUP BY 1")
+
+
+# Sources, rules and lookups
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", "event_type", "user_id", "value", millis(e.ts).alias("ms"))
+
+
+def _labelled(rows: DataFrame, *names: str) -> list[Column]:
+    return [L.get(rows.labels, n).alias(n.strip("_")) for n in names]
+
+
+def import_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide table of hourly sums, a column for each event type, read as a store."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    hour = F.floor(F.col("ms") / HOUR) * HOUR
+    wide = _events(spark, sf_dir).groupBy(hour.alias("ts")).pivot("event_type", kinds).agg(F.sum("value"))
+    for k in kinds:
+        wide = wide.withColumnRenamed(k, f'hourly{{event_type="{k}"}}')
+    store = from_wide(wide)
+    rows = store.samples.join(store.series, "sid")
+    return rows.select(*_labelled(rows, "__name__", "event_type"), "ts", (F.round(F.col("value") + SHIFT, 4) + 0.0).alias("value"))
+
+
+def exposition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events written as exposition lines among comments, and parsed again."""
+    e = _events(spark, sf_dir)
+    line = F.format_string('app:%s{user="%s", note="a \\"b\\""} %s %s', "event_type", F.col("user_id").cast("string"), F.col("value").cast("string"), F.col("ms").cast("string"))
+    lines = e.select(F.explode(F.array(F.lit("# HELP x y"), line, F.lit(""))).alias("value"))
+    rows = parse_lines(lines)
+    return rows.select(*_labelled(rows, "__name__", "user", "note"), "value", "ts")
+
+
+def ingest_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the samples of one user in one hour the last written counts."""
+    e = _events(spark, sf_dir)
+    labels = L.of_columns({L.NAME: F.lit("u"), "user_id": F.col("user_id")})
+    store = store_of(e.select(labels.alias("labels"), (F.floor(F.col("ms") / HOUR) * HOUR).alias("ts"), "value", "event_id"), "event_id")
+    rows = store.samples.join(store.series, "sid")
+    return rows.select(*_labelled(rows, "user_id"), "ts", "value")
+
+
+ALERT_AT = (HOURLY[0] + 5 * DAY, HOURLY[0] + 5 * DAY + HOUR)
+ALERT = AlertRule("busy", "avg_over_time(event_value[3h]) > 40", wait=HOUR)
+
+
+def alert_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of an alert after a second run, an hour after the first."""
+    engine = Engine(stores(spark, sf_dir, "event_value"))
+    second = alert_states(engine, ALERT, ALERT_AT[1], alert_states(engine, ALERT, ALERT_AT[0]))
+    return second.select(label("event_type").alias("event_type"), "fired_since", "status")
+
+
+def recording_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a recording rule adds to the store."""
+    store = record(Engine(stores(spark, sf_dir, "event_user")), RecordingRule("type:sum", "sum by (event_type) (sum_over_time(event_user[1d]))", {"team": "a"}), ALERT_AT[0])
+    rows = store.samples.join(store.series, "sid")
+    return rows.select(*_labelled(rows, "__name__", "event_type", "team"), "ts", (F.round(F.col("value") + SHIFT, 4) + 0.0).alias("value"))
+
+
+def series_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label sets of series that match either of two selectors."""
+    rows = Engine(stores(spark, sf_dir, "event_user")).series('event_user{user_id=~"1.*"}', 'event_user{event_type="view",user_id!="7"}')
+    return rows.select(*(label(x).alias(x) for x in ("event_type", "user_id")))
+
+
+def label_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(stores(spark, sf_dir, "event_user")).label_values("user_id")
+
+
+def json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each series of a range query, with its points in order: number, first and last."""
+    rows = result_rows(Engine(stores(spark, sf_dir, "event_value")).query_range("sum_over_time(event_value[6h])", *COARSE))
+    p = F.col("points")
+    return rows.select(label("event_type").alias("event_type"), F.size(p).cast("long").alias("n"), p[0]["t"].alias("first_t"), F.element_at(p, -1)["t"].alias("last_t"), (F.round(p[0]["value"] + SHIFT, 4) + 0.0).alias("value"))
+
+
+def scrape_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scrapes of one instance for each event type, with labels added and an up sample; errors stand for failed scrapes."""
+    e = _events(spark, sf_dir)
+    ok = F.col("event_type") != "error"
+    rows = e.select("event_type", F.when(ok, L.of_columns({L.NAME: F.lit("seen"), "user": F.col("user_id")})).alias("labels"), F.when(ok, F.col("user_id").cast("double")).alias("value"), ok.cast("double").alias("up"))
+    out = scraped(rows, F.lit(EPOCH), F.col("event_type"), F.lit("app"), up=F.col("up")).distinct()
+    return out.select(*_labelled(out, "__name__", "instance", "job", "user"), "ts", "value")
+
+
+for _q in (import_wide, exposition_text, ingest_last_wins, alert_two_runs, recording_rule, series_lookup, label_values, json_result, scrape_up):
+    QUERIES[_q.__name__] = _q
+_V = f"round({{}} + {SHIFT:.7f}::DOUBLE, 4) + 0.0 AS value"
+ORACLE_SQL |= {
+    "import_wide": f"SELECT 'hourly' AS name, event_type, (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS ts, {_V.format('sum(value)')} FROM events GROUP BY 1, 2, 3",
+    "exposition_text": "SELECT 'app:' || event_type AS name, user_id::VARCHAR AS \"user\", 'a \"b\"' AS note, value, epoch_us(ts) // 1000 AS ts FROM events",
+    "ingest_last_wins": f"SELECT user_id::VARCHAR AS user_id, (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
+    "alert_two_runs": f"WITH {EV.replace('epoch_ms(ts)', 'epoch_us(ts) // 1000')}, a AS (SELECT run, event_type FROM ev, (SELECT unnest([{ALERT_AT[0]}::BIGINT, {ALERT_AT[1]}::BIGINT]) AS run) WHERE ts <= run AND ts >= run - {3 * HOUR} GROUP BY 1, 2 HAVING avg(value) > 40) SELECT event_type, min(run) AS fired_since, CASE WHEN min(run) = {ALERT_AT[0]} THEN 'FIRING' ELSE 'PENDING' END AS status FROM a GROUP BY 1 HAVING max(run) = {ALERT_AT[1]}",
+    "recording_rule": f"SELECT 'type:sum' AS name, event_type, 'a' AS team, {ALERT_AT[0]}::BIGINT AS ts, {_V.format('sum(value)')} FROM events WHERE epoch_us(ts) // 1000 BETWEEN {ALERT_AT[0] - DAY} AND {ALERT_AT[0]} GROUP BY 2",
+    "series_lookup": "SELECT DISTINCT event_type, user_id::VARCHAR AS user_id FROM events WHERE user_id::VARCHAR LIKE '1%' OR event_type = 'view' AND user_id <> 7",
+    "label_values": "SELECT DISTINCT user_id::VARCHAR AS value FROM events",
+    "json_result": f"WITH {_grid(COARSE)}, s AS (SELECT event_type, t, sum(value) AS v FROM grid JOIN events ON epoch_us(ts) // 1000 <= t AND epoch_us(ts) // 1000 >= t - {6 * HOUR} GROUP BY 1, 2) SELECT event_type, count(*) AS n, min(t) AS first_t, max(t) AS last_t, {_V.format('arg_min(v, t)')} FROM s GROUP BY 1",
+    "scrape_up": f"SELECT DISTINCT 'seen' AS name, event_type AS instance, 'app' AS job, user_id::VARCHAR AS \"user\", {EPOCH}::BIGINT AS ts, user_id::DOUBLE AS value FROM events WHERE event_type <> 'error' UNION ALL SELECT DISTINCT 'up', event_type, 'app', NULL, {EPOCH}::BIGINT, (event_type <> 'error')::INT::DOUBLE FROM events",
+}
