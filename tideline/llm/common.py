@@ -53,6 +53,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+REST = "__rest"
+
+
+def set_aside(docs: DataFrame, *plain: str) -> DataFrame:
+    """docs as the columns `plain` and one struct of all others, so that no name of theirs can clash with an operator's."""
+    rest = [c for c in docs.columns if c not in plain]
+    return docs.select(*plain, (F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.struct(F.lit(0).alias("none"))).alias(REST))
+
+
+def brought_back(df: DataFrame, columns: list[str], plain: tuple[str, ...], **changed: Column) -> DataFrame:
+    """The columns of the docs that set_aside() took; `changed` gives other values for some."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col(c) if c in plain else F.col(REST).getField(c).alias(c) for c in columns))
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long, 0 for null; built-in expressions only."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

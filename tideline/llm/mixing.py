@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import word_count, written
+from tideline.llm.common import REST, brought_back, set_aside, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2.0
@@ -87,16 +87,17 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of `docs`: a row for each time that a document is taken.
 
     A document taken whole keeps its text as it is; one taken in part keeps its first words, joined by one blank.
-    Documents not taken go. n_chars is counted anew.
+    Documents not taken go. n_chars, where there is one, is counted anew for a text that is cut.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "source")]
-    plan = plan_mix(docs, carry=rest, **how).filter("taken > 0")
+    plain = ("doc_id", "source", "text")
+    plan = plan_mix(set_aside(docs, *plain), carry=["text", REST], **how).filter("taken > 0")
     plan = plan.withColumn("_words", F.explode(F.when(F.col("taken") > F.col("size"), F.array("size", F.col("taken") - F.col("size"))).otherwise(F.array("taken"))))
     cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""), 1, F.col("_words").cast("int")), " ")
-    plan = plan.withColumn("text", F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text")))
-    if "n_chars" in rest:
-        plan = plan.withColumn("n_chars", F.length("text").cast("long"))
-    return plan.select(*docs.columns)
+    part = F.col("_words") < F.col("size")
+    changed = {"text": F.when(part, cut).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(part, F.length(cut).cast("long")).otherwise(F.col(REST).getField("n_chars"))
+    return brought_back(plan, docs.columns, plain, **changed)
 
 
 SQL = rf"""

@@ -13,14 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, fold_of, hash_words, slices
+from tideline.llm.common import LOWER, REST, brought_back, fold_of, hash_words, set_aside, slices
 
 #: Rows that the fit reads at most: positives and unlabelled documents with the smallest hashes of their ids.
 POSITIVES, UNLABELLED = 4000, 6000
 PAIRS = 1024
 STATS = 12
 SIZE = 256 + PAIRS + 3 * STATS
-#: What is added to a logit's precision by nothing: features are damped so that no text, however odd, leaves this range.
+#: Logits are held within this range.
 CLIP = 30.0
 
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
@@ -131,15 +131,22 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 
 def score_documents(docs: DataFrame, model: Model, carry: list[str] = []) -> DataFrame:  # noqa: B006
-    """doc_id, score (0 to 1) and the columns named in `carry`, of every row; a null text counts as empty. A score depends on the text alone."""
+    """doc_id, score (0 to 1) and the columns named in `carry` (which may be text), of every row; a null text counts as empty. A score depends on the text alone."""
     found = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("_text"), *carry)
-    schema = picked.drop("_text").withColumn("score", F.lit(0.0)).schema
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
+    names = ["doc_id", *carry]
+    schema = picked.select(*names).withColumn("score", F.lit(0.0)).schema
 
     def run(it):
         for b in it:
-            scores = [found.value.score(features(part)) for _, part in slices(b.column("_text").to_pylist())]
-            rest = b.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*rest.schema.names, "score"])
+            scores = [found.value.score(features(part)) for _, part in slices(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(np.concatenate(scores) if scores else [], pa.float64())], [*names, "score"])
 
     return picked.mapInArrow(run, schema)
+
+
+def good_documents(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """docs whose score is `least` or more, with all their columns."""
+    plain = ("doc_id", "text")
+    scored = score_documents(set_aside(docs, *plain), model, ["text", REST]).filter(F.col("score") >= least)
+    return brought_back(scored, docs.columns, plain)

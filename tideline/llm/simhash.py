@@ -188,7 +188,7 @@ def kept(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     component of null ids alone keeps one row. Only ids and hashes are compared: texts are read again at the end.
     """
     key = F.xxhash64("text")
-    found = near_duplicates(docs.withColumn("_key", key), ["_key"], distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(F.min("_key").alias("_k")).select(F.col("component_id").alias("_id"), "_k")
-    back = docs.withColumn("_key", key).join(one, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
-    return back.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    found = near_duplicates(docs.withColumn("__key", key), ["__key"], distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("__fp")).agg(F.min("__key").alias("__k")).select(F.col("component_id").alias("__id"), "__k")
+    back = docs.withColumn("__key", key).join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
+    return back.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)

@@ -258,16 +258,16 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     lose all their words go. n_chars is counted anew.
     """
     _, firsts, found = _search(docs)
-    found = written(found.select("doc_id", "key", F.col("kept").cast("string").alias("_kept")), "kept")
+    found = written(found.select("doc_id", "key", F.col("kept").cast("string").alias("__kept")), "kept")
     firsts = written(firsts, "first-ids")
     columns = list(docs.columns)
-    keyed = docs.withColumn("_line", line_of(F.col("text"))).withColumn("_key", F.xxhash64("_line")).withColumn("_sha", F.sha2("_line", 256)).drop("_line")
-    joined = keyed.join(firsts.withColumnRenamed("sha", "_sha").withColumnRenamed("first", "_first"), "_sha", "left").join(
-        found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "_kept"), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k")), "left"
+    keyed = docs.withColumn("__line", line_of(F.col("text"))).withColumn("__key", F.xxhash64("__line")).withColumn("__sha", F.sha2("__line", 256)).drop("__line")
+    joined = keyed.join(firsts.withColumnRenamed("sha", "__sha").withColumnRenamed("first", "__first"), "__sha", "left").join(
+        found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "__kept"), (F.col("doc_id") == F.col("__id")) & (F.col("__key") == F.col("__k")), "left"
     )
-    joined = joined.filter(~F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)) & ~F.coalesce(F.col("_kept") == "", F.lit(False)))
-    text = F.coalesce("_kept", "text")
+    joined = joined.filter(~F.coalesce(F.col("doc_id") > F.col("__first"), F.lit(False)) & ~F.coalesce(F.col("__kept") == "", F.lit(False)))
+    text = F.coalesce("__kept", "text")
     out = joined.withColumn("text", text)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*columns)
