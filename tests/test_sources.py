@@ -12,7 +12,7 @@ from tideline.engine import Engine
 from tideline.functions import labels as L
 from tideline.rules import AlertRule, RecordingRule, RuleRunner, Scheduler, alert_labels, alert_states, parse_groups
 from tideline.sources.exposition import parse_lines, parse_metric
-from tideline.sources.store import clear, load, save
+from tideline.sources.store import clear, compact, load, save
 from tideline.sources.wide import from_wide
 from tideline.streaming.ingest import ingest, scrape_once, text_stream
 
@@ -65,6 +65,17 @@ def test_store_folder_and_api(spark, tmp_path):
     assert load(spark, path).samples.count() == 0
 
 
+def test_last_written_wins(spark, tmp_path):
+    path = str(tmp_path / "s")
+    save(spec.store(spark, [(1000, "a 1 2 3")]), path)
+    save(spec.store(spark, [(1000, "a _ 9")]), path)
+    rows = lambda **how: sorted((r["ts"], r["value"]) for r in load(spark, path, **how).samples.collect())
+    assert rows() == [(0, 1.0), (1000, 9.0), (2000, 3.0)] and len(rows(last_wins=False)) == 4
+    assert Engine(load(spark, path)).query_instant("sum_over_time(a[1m])", 2000).first()["value"] == 13.0
+    compact(spark, path, [0])
+    assert rows(last_wins=False) == rows() == [(0, 1.0), (1000, 9.0), (2000, 3.0)]
+
+
 def test_alerts(spark):
     store = spec.store(spark, [(1000, 'foo{s="a"} 1 2 3 4 0 5'), (1000, 'foo{s="b"} 0 0 3 3 3 3')])
     engine, rule = Engine(store), AlertRule("hot", "foo > 2", wait=1000, labels={"team": "x"})

@@ -1,11 +1,13 @@
 """A store of samples: facts by series id and time, and the series' labels.
 
-samples: sid, ts (ms), value, stale, bucket (ts div BUCKET; the partition folder of a stored table)
+samples: sid, ts (ms), value, stale, bucket (ts div BUCKET; the partition folder of a stored table); a stored table
+also has seq, the time of writing: of samples with one series and time the last written counts
 series: sid (fingerprint of the labels), name, labels (sorted array of pairs)
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +17,7 @@ from tideline.functions import labels as L
 
 #: Milliseconds of a partition folder of the sample table: a day.
 BUCKET = 86_400_000
-SAMPLES = "sid long, ts long, value double, stale boolean, bucket long"
+SAMPLES = "sid long, ts long, value double, stale boolean, seq long, bucket long"
 SERIES = f"sid long, name string, labels {L.TYPE}"
 
 
@@ -46,7 +48,8 @@ def save(store: Store, path: str, mode: str = "append") -> None:
     if mode == "append" and exists(spark, f"{path}/series"):
         series = series.join(spark.read.schema(SERIES).parquet(f"{path}/series"), "sid", "left_anti")
     series.write.mode(mode).parquet(f"{path}/series")
-    store.samples.repartition("bucket", F.pmod("sid", F.lit(16))).sortWithinPartitions("sid", "ts").write.mode(mode).partitionBy("bucket").parquet(f"{path}/samples")
+    samples = store.samples.withColumn("seq", F.lit(time.time_ns()))
+    samples.repartition("bucket", F.pmod("sid", F.lit(16))).sortWithinPartitions("sid", "ts").write.mode(mode).partitionBy("bucket").parquet(f"{path}/samples")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -54,13 +57,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def load(spark: SparkSession, path: str) -> Store:
-    """The store in a folder. Time bounds of queries prune its day folders."""
+def _last_written(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("sid", "ts", "bucket").agg(F.max_by(F.struct("value", "stale"), "seq").alias("x"), F.max("seq").alias("seq")).select("sid", "ts", "x.value", "x.stale", "seq", "bucket")
+
+
+def load(spark: SparkSession, path: str, last_wins: bool = True) -> Store:
+    """The store in a folder. Time bounds of queries prune its day folders.
+
+    Samples written twice are told apart when read: an aggregate by series and time, below which Spark pushes the
+    bounds and the chosen series. A store that is compacted, or never writes a sample twice, can be read without it.
+    """
     samples = spark.read.schema(SAMPLES).parquet(f"{path}/samples")
+    if last_wins:
+        samples = _last_written(samples)
     series = spark.read.schema(SERIES).parquet(f"{path}/series").dropDuplicates(["sid"])
     return Store(samples, series)
 
 
+def _replace_day(spark: SparkSession, path: str, day: int, change) -> None:
+    """Rewrites one day folder by way of a folder aside."""
+    folder, aside = f"{path}/samples/bucket={day}", f"{path}/_aside-{day}"
+    rows = spark.read.schema("sid long, ts long, value double, stale boolean, seq long").parquet(folder).withColumn("bucket", F.lit(day).cast("long"))
+    kept = change(rows).drop("bucket").sortWithinPartitions("sid", "ts")
+    kept.write.mode("overwrite").parquet(aside)
+    spark.read.schema(kept.schema).parquet(aside).write.mode("overwrite").parquet(folder)
+    p = spark._jvm.org.apache.hadoop.fs.Path(aside)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def compact(spark: SparkSession, path: str, days: list[int]) -> None:
+    """Rewrites day folders with one row for each series and time: the last written."""
+    for day in days:
+        _replace_day(spark, path, day, _last_written)
+
+
 def clear(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> None:
     """Drops all samples, or those with start <= ts <= end; series stay known unless all goes.
 
@@ -73,13 +103,8 @@ def clear(spark: SparkSession, path: str, start: int | None = None, end: int | N
     first, last = (-(1 << 62) if start is None else start), ((1 << 62) if end is None else end)
     table = spark.read.schema(SAMPLES).parquet(f"{path}/samples")
     days = [r["bucket"] for r in table.filter((F.col("bucket") >= first // BUCKET) & (F.col("bucket") <= last // BUCKET)).select("bucket").distinct().collect()]
-    for day in days:  # one folder a day
-        folder, aside = f"{path}/samples/bucket={day}", f"{path}/_clear-{day}"
-        kept = spark.read.schema("sid long, ts long, value double, stale boolean").parquet(folder).filter((F.col("ts") < first) | (F.col("ts") > last))
-        kept.write.mode("overwrite").parquet(aside)
-        spark.read.schema(kept.schema).parquet(aside).write.mode("overwrite").parquet(folder)
-        p = spark._jvm.org.apache.hadoop.fs.Path(aside)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for day in days:
+        _replace_day(spark, path, day, lambda rows: rows.filter((F.col("ts") < first) | (F.col("ts") > last)))
 
 
 def series_matching(store: Store, selector) -> DataFrame:
