@@ -86,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_substrings": substrings.SQL, "op6_mixing": mixing.SQL}
