@@ -59,40 +59,51 @@ def signature(labels: Column, m: Matching) -> Column:
     return L.keep(labels, m.on) if m.on is not None else L.drop(labels, [*m.ignoring, L.NAME])
 
 
-def _signed(v: Vector, m: Matching) -> tuple[DataFrame, DataFrame]:
-    """Facts with the hash of their series' signature, and the series with it."""
+def _signed(v: Vector, m: Matching, result: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Facts with the hash of their series' signature (sig), and the series with it.
+
+    With `result`, the label set that a series has afterwards, also the id of that set (nid): one join brings both.
+    An empty on() joins nothing: all series have one signature.
+    """
+    if m.on == ():
+        one = L.fingerprint(F.array().cast(L.TYPE))
+        ids = {"sig": one} | ({} if result is None else {"nid": one})
+        return v.facts.withColumns(ids), v.series.withColumns(ids)
     series = v.series.withColumn("sig", L.fingerprint(signature(F.col("labels"), m)))
-    return v.facts.join(series.select("sid", "sig"), "sid"), series
+    if result is not None:
+        series = series.withColumn("nid", L.fingerprint(result))
+    return v.facts.join(series.drop("labels"), "sid"), series
 
 
 def _single(rows: DataFrame, what: str) -> DataFrame:
     """rows with at most one a signature and step: a second one is an error when the plan runs. The shuffle is the join's own."""
-    one = rows.groupBy("sig", "t").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.struct("sid", "value", "sample_ts"), F.col("sid")).alias("x"))
+    rest = [c for c in rows.columns if c not in ("sig", "t")]
+    one = rows.groupBy("sig", "t").agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*rest)).alias("x"))
     only = F.when(F.col("n") > 1, F.raise_error(F.lit(what)).cast("boolean")).otherwise(F.lit(True))  # as a filter, no optimiser prunes it
-    return one.filter(only).select("sig", "t", "x.sid", "x.value", "x.sample_ts")
+    return one.filter(only).select("sig", "t", "x.*")
 
 
 def vectors(op: str, left: Vector, right: Vector, m: Matching, flag: bool) -> Vector:
     """One-to-one, or with group_left / group_right many-to-one matching; series and steps without a partner have no result."""
     many, one = (right, left) if m.group == "right" else (left, right)
-    (many_facts, many_series), (one_facts, one_series) = _signed(many, m), _signed(one, m)
+    drop_name = op in DROPS_NAME or flag
+    labels = F.col("labels")
+    if m.on is not None and not m.group:
+        labels = L.keep(labels, m.on)
+    elif drop_name or not m.group:
+        labels = L.drop(labels, [*([] if m.group else m.ignoring), *([L.NAME] if drop_name else [])])
+    (many_facts, many_series), (one_facts, one_series) = _signed(many, m, None if m.group else labels), _signed(one, m)
     one_facts = _single(one_facts, "found duplicate series for the match group: many-to-many matching is not allowed").select("sig", "t", F.col("sid").alias("osid"), F.col("value").alias("other"))
     if not m.group:
         many_facts = _single(many_facts, "multiple matches for labels: many-to-one matching must be explicit (group_left/group_right)")
     both = many_facts.join(one_facts, ["sig", "t"])
     a, b = (F.col("other"), F.col("value")) if m.group == "right" else (F.col("value"), F.col("other"))
-    drop_name = op in DROPS_NAME or flag
     if op not in COMPARISONS:
         both = both.withColumn("result", arithmetic(op, a, b))
     elif flag:
         both = both.withColumn("result", ieee.comparison(op, a, b).cast("double"))
     else:
         both = both.filter(ieee.comparison(op, a, b)).withColumn("result", a)
-    labels = F.col("labels")
-    if m.on is not None and not m.group:
-        labels = L.keep(labels, m.on)
-    elif drop_name or not m.group:
-        labels = L.drop(labels, [*([] if m.group else m.ignoring), *([L.NAME] if drop_name else [])])
     if not m.include:
         out = Vector(both.select("sid", "t", "sample_ts", F.col("result").alias("value")), many.series, many.one_name)
         renamed = many_series.select("sid", labels.alias("labels"))
@@ -101,9 +112,8 @@ def vectors(op: str, left: Vector, right: Vector, m: Matching, flag: bool) -> Ve
         if m.group:
             return out.without_name()
         # at most one series of a signature a step: equal label sets never meet, so ids are merged without a check
-        named = renamed.withColumn("nid", L.fingerprint(F.col("labels")))
-        facts = out.facts.join(named.select("sid", "nid"), "sid").select(F.col("nid").alias("sid"), "t", "sample_ts", "value")
-        return Vector(facts, named.select(F.col("nid").alias("sid"), "labels").distinct())
+        facts = both.select(F.col("nid").alias("sid"), "t", "sample_ts", F.col("result").alias("value"))
+        return Vector(facts, many_series.select(F.col("nid").alias("sid"), labels.alias("labels")).distinct())
     copied = labels
     for key in m.include:
         copied = L.put(copied, key, L.get(F.col("olabels"), key))
