@@ -38,7 +38,7 @@ def label(name: str) -> Column:
     return F.try_element_at("labels", F.lit(name))
 
 
-def promql(views: str, text: str, labels: str, grid: tuple[int, int, int]) -> Query:
+def query_of(views: str, text: str, labels: str, grid: tuple[int, int, int]) -> Query:
     """A query of the language; its labels become columns, rows without a label have null there."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def promql(views: str, text: str, labels: str, grid: tuple[int, int, int]) -> Qu
 
 
 def add(name: str, views: str, text: str, labels: str, grid: tuple[int, int, int], sql: str) -> None:
-    QUERIES[name] = promql(views, text, labels, grid)
+    QUERIES[name] = query_of(views, text, labels, grid)
     ORACLE_SQL[name] = re.sub(r", 4\)( \+ 0\.0)? AS value", f" + {SHIFT:.7f}::DOUBLE, 4) + 0.0 AS value", sql)
 
 
