@@ -18,6 +18,8 @@ SHARE, MOST = 1.5, 2.0
 #: Words of a block, documents of a shard on average.
 BLOCK, SHARD_ROWS = 16, 2000
 SEED = "mix-1"
+#: Sources are sent to all executors up to this number of them.
+SMALL = 20_000
 
 
 def apportion(df: DataFrame, votes: str, seats: str, key: list[str], within: list[str], out: str) -> DataFrame:
@@ -73,6 +75,9 @@ def plan_mix(docs: DataFrame, carry: list[str] = [], weights: tuple[int, ...] =
     sources = sized.groupBy("_null", "_source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("long").alias("_shards"))
     sources = targets(sources, weights, share, most).withColumn("_all", F.lit(0)).withColumn("_blocks", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5).cast("long"))
     sources = apportion(sources, "target", "_blocks", ["_null", "_source"], ["_all"], "quota").select("_null", "_source", "_shards", "source_size", "target", "quota")
+    sources = written(sources, "sources")
+    if sources.count() <= SMALL:  # a few MB at most; beyond that Spark shuffles, and splits a source that holds too many rows
+        sources = F.broadcast(sources)
     dealt = sized.join(sources.select("_null", "_source", "_shards"), ["_null", "_source"]).withColumn("_shard", F.conv(F.substring("_seeded", 1, 15), 16, 10).cast("long") % F.col("_shards")).drop("_shards")
     shards = dealt.groupBy("_null", "_source", "_shard").agg(F.sum("size").alias("shard_size")).join(sources.drop("_shards"), ["_null", "_source"])
     shards = apportion(shards.withColumn("_votes", F.col("shard_size").cast("double")), "_votes", "quota", ["_shard"], ["_null", "_source"], "blocks")
