@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import load_ranks
-from tideline.llm.common import fresh_path, mix, release, slices, written
+from tideline.llm.common import fresh_path, mix, release, remove, slices, written
 
 LENGTH, ROUNDS, KEY = 128, 4, 20240229
 SHARD_BYTES = 8 << 20
+#: Shards are dealt out in so many waves, each a shuffle of its share of the sequences: the disk never holds a whole shuffle beside tokens and shards.
+WAVES = 4
+SLOTS = "seq long, slot long, shard long, byte_offset long, doc_id long, doc_seq long, n_tokens long"
 
 
 class Permutation:
@@ -97,7 +101,7 @@ def materialise(docs: DataFrame, path: str, rank_path: str, pattern: str, length
     seq (number), slot, shard, byte_offset, doc_id, doc_seq (which sequence of its document, from 0), n_tokens (without
     padding) and sha256 of the stored bytes, read back from the shard. A null or empty text has one sequence, the end
     mark; the last sequence of a document is filled up with end marks. Repeated rows and null ids are rows like others.
-    Shards are written while the result is computed; a shard written again is the same and takes the other's place.
+    All shards are written when this returns; digests are taken from them when its result is read. A task that runs again writes the same shard in the other's place.
     """
     spark = docs.sparkSession
     end = max(load_ranks(rank_path).values()) + 1
@@ -116,7 +120,7 @@ def materialise(docs: DataFrame, path: str, rank_path: str, pattern: str, length
         f.write(json.dumps({"sequences": n, "length": length, "dtype": kind.str, "end": end, "key": key, "rounds": ROUNDS, "per_shard": per_shard}).encode())
     offsets = spark.sparkContext.broadcast(before)
 
-    def deal(it):
+    def deal(it, wave, waves):
         order = Permutation(n, key)
         for b in it:
             for at in range(0, b.num_rows, 512):
@@ -130,6 +134,8 @@ def materialise(docs: DataFrame, path: str, rank_path: str, pattern: str, length
                 full = np.full((len(row), length), end, kind)
                 full[np.arange(length) < np.minimum(counts[row] - which * length, length)[:, None]] = np.frombuffer(b"".join(part.column("ids").to_pylist()), kind)
                 slot = order.slot(seq)
+                mine = slot // per_shard % waves == wave
+                row, which, seq, slot, full = row[mine], which[mine], seq[mine], slot[mine], full[mine]
                 data = full.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(slot // per_shard), pa.array(slot), pa.array(seq), part.column("doc_id").take(pa.array(row)), pa.array(which), pa.array(np.minimum(counts[row] - which * length, length)), pa.array([data[x : x + stride] for x in range(0, len(data), stride)], pa.binary())],
@@ -146,13 +152,30 @@ def materialise(docs: DataFrame, path: str, rank_path: str, pattern: str, length
                 f.write(x.as_py())
         fs.move(f"{name}.{task.taskAttemptId()}.tmp", name)
         at = (slots - shard * per_shard) * stride
-        with fs.open_input_file(name) as f:
-            stored = f.read()
-        found = [hashlib.sha256(stored[x : x + stride]).hexdigest() for x in at.tolist()]
-        return pa.table([t.column("seq"), t.column("slot"), t.column("shard"), pa.array(at), t.column("doc_id"), t.column("doc_seq"), t.column("n_tokens"), pa.array(found, pa.string())], names=["seq", "slot", "shard", "byte_offset", "doc_id", "doc_seq", "n_tokens", "sha256"])
+        return pa.table([t.column("seq"), t.column("slot"), t.column("shard"), pa.array(at), t.column("doc_id"), t.column("doc_seq"), t.column("n_tokens")], names=["seq", "slot", "shard", "byte_offset", "doc_id", "doc_seq", "n_tokens"])
 
-    dealt = rows.mapInArrow(deal, "shard long, slot long, seq long, doc_id long, doc_seq long, n_tokens long, data binary")
-    return dealt.groupBy("shard").applyInArrow(write, "seq long, slot long, shard long, byte_offset long, doc_id long, doc_seq long, n_tokens long, sha256 string")
+    def read_back(it):
+        fs, folder = pafs.FileSystem.from_uri(path)
+        for b in it:
+            shard, at = b.column("shard").to_numpy(), b.column("byte_offset").to_numpy()
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)] if len(shard) else [0]
+            found = []
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):  # rows of a shard stand together, as they were written
+                first = int(at[x:y].min())
+                with fs.open_input_file(f"{folder}/shard-{shard[x]:08d}.bin") as f:
+                    f.seek(first)
+                    stored = f.read(int(at[x:y].max()) + stride - first)
+                found += [hashlib.sha256(stored[o - first : o - first + stride]).hexdigest() for o in at[x:y].tolist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "sha256"])
+
+    found = fresh_path(spark, "slots")
+    waves = min(WAVES, max(1, -(-n // per_shard)))
+    for wave in range(waves):
+        dealt = rows.mapInArrow(partial(deal, wave=wave, waves=waves), "shard long, slot long, seq long, doc_id long, doc_seq long, n_tokens long, data binary")
+        dealt.groupBy("shard").applyInArrow(write, SLOTS).write.mode("append").option("compression", "zstd").parquet(found)
+        release(spark)
+    remove(spark, rows.inputFiles()[0].rpartition("/")[0] if n else None)
+    return spark.read.schema(SLOTS).parquet(found).mapInArrow(read_back, f"{SLOTS}, sha256 string")
 
 
 def read_slots(path: str, first: int, count: int) -> np.ndarray:
