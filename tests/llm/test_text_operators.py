@@ -176,6 +176,36 @@ def test_bloom_never_loses_a_level():
     assert ngrams.level(np.array([1, 2, 3, 4, 7, 8])).tolist() == [1, 2, 2, 3, 3, 4]
 
 
+def test_bloom_reads_stop_at_the_highest_level():
+    full = np.full((1, 64), 255, np.uint8)
+    assert set(ngrams.LogBloom(full, top=5).counts(np.arange(9, dtype=np.uint64))) == {16.0}
+    assert np.isfinite(ngrams.LogBloom(full).counts(np.arange(9, dtype=np.uint64))).all()
+
+
+def test_bloom_grows_with_its_pairs():
+    for n in (2000, 400_000):
+        keys = ngrams.mix(np.arange(2 * n, dtype=np.uint64)) & np.uint64((1 << 40) - 1)
+        got = ngrams._levels([keys[:n], keys[n:]], [np.ones(n, np.int64), np.zeros(n, np.int64)], None)
+        seen, unseen = (np.frombuffer(x, np.uint8) for x in got)
+        assert (seen == 1).all() and (unseen > 0).mean() < 0.01
+
+
+def test_ngram_pairs_over_groups(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngrams, "GROUP_BYTES", 4000)
+    tokens = [(i, [None, *(t or "").encode().translate(LOWER).split(), None]) for i, t, *_ in rows]
+    learn = [t for i, t in tokens if zlib.crc32(str("null" if i is None else i).encode()) % 7 != 2]
+    f, both = Counter(w for t in learn for w in t[1:]), Counter(p for t in learn for p in zip(t, t[1:], strict=False))
+    n, v = sum(f.values()), len(f)
+
+    def prob(a, b):
+        pair = min(2 ** (both[a, b].bit_length() - 1) if both[a, b] else 0, f[a], f[b])
+        return math.log10((pair + 4 * (f[b] + 1) / (n + v + 1)) / (f[a] + 4))
+
+    want = {(i, len(t) - 1, round(sum(prob(*p) for p in zip(t, t[1:], strict=False)), 6)) for i, t in tokens}
+    got = {(r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in ngrams.score(docs).collect()}
+    assert len(got - want) <= 3  # those with a false hit
+
+
 def test_license_templates():
     a = licenses.Automaton("use [of {what:1-2} is] free {kind=now|for ever} and {rest:0-2} end")
     say = lambda text: a.find(licenses.words_of(text))

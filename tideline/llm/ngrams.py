@@ -2,9 +2,10 @@
 
 Word pairs of the training texts are counted, counts are quantised to levels (level q stands for 2**(q-1) and more),
 and a pair of level q is put into the filter q times, as (pair, 1) .. (pair, q). A reader probes levels upwards until
-one is missing. The filter has a fixed number of bits whatever the corpus, so it can be broadcast; more pairs fill it
-further and make reads too high more often, never too low. Word counts are exact: they are counted in buckets of
-words, and each group of documents is sent the counts of just its own words, so no table of words is ever broadcast.
+one is missing. The filter lies in segments, as many as the corpus asks for; each is filled and read by one task, with
+PAIR_BITS bits for each pair and level that it stores, so that the rate of false hits (which make reads too high, never
+too low) is the same for any corpus. Word counts are exact: they are counted in buckets of words. Each group of documents
+is sent the counts of just its own words and pairs, so no table of either is ever broadcast.
 
 P(w | v) = (f(v, w) + K * P(w)) / (f(v) + K), P(w) = (f(w) + 1) / (N + V + 1); f(v, w) comes from the filter.
 """
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import LOWER, fold_of, hash_words, mix, release, slices, written
 
-#: Bits of the filter (32 MB), in segments that one task fills each; probes of a level.
-BITS, SEGMENTS, PROBES = 1 << 28, 64, 2
+#: Bits of the filter for a stored pair and level (0.4 % false hits), segments at least; probes of a level.
+PAIR_BITS, SEGMENTS, PROBES = 32, 32, 2
+#: The highest level that a count of 63 bits can have.
+TOP = 63
 #: Text bytes of a group of documents, on average; weight of the word model in the pair model.
 GROUP_BYTES, PRIOR = 8 << 20, 4.0
 END = np.uint64(0x5EED0F7E7C0DE5)
@@ -55,8 +58,8 @@ def level(counts: np.ndarray) -> np.ndarray:
 class LogBloom:
     """A filter in segments: a key's segment is given by its top bits, its places by the others and the level."""
 
-    def __init__(self, bits: np.ndarray, probes: int = PROBES):
-        self.bits, self.probes = bits, probes  # (segments, bytes of one) of uint8
+    def __init__(self, bits: np.ndarray, probes: int = PROBES, top: int = TOP):
+        self.bits, self.probes, self.top = bits, probes, top  # (segments, bytes of one) of uint8; the highest level stored
 
     @staticmethod
     def segment(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -67,6 +70,11 @@ class LogBloom:
         salt = np.uint64((q * 0xD1B54A32D192ED03 + (probe * 2 + 1) * 0x94D049BB133111EB) & (2**64 - 1))
         return (mix((keys & np.uint64((1 << 40) - 1)) + salt) % np.uint64(size)).astype(np.int64)
 
+    @staticmethod
+    def room(counts: np.ndarray) -> int:
+        """Bits for a segment that holds keys with these counts: PAIR_BITS for each level of each, in whole bytes."""
+        return max(64, PAIR_BITS * int(level(counts).sum()))
+
     @staticmethod
     def fill(keys: np.ndarray, counts: np.ndarray, size: int, probes: int = PROBES) -> np.ndarray:
         """The bytes of one segment of `size` bits."""
@@ -84,7 +92,7 @@ class LogBloom:
         out = np.zeros(len(keys))
         todo, q = np.arange(len(keys)), 1
         segment = self.segment(keys, segments)
-        while len(todo):
+        while len(todo) and q <= self.top:
             held = np.ones(len(todo), bool)
             for p in range(self.probes):
                 at = self.places(keys[todo], q, p, size)
@@ -108,102 +116,115 @@ def _texts(t: pa.Table):
         yield first, *tokens_of(part)
 
 
-def score(docs: DataFrame, mod: int = 7, held: int = 2, bits: int = BITS) -> DataFrame:
+def _dealt(to: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that brings the numbers `to` together, and (number, from, up to) of each that occurs."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(parts + 1)).tolist()
+    return order, [(j, x, y) for j, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+
+
+def _short(keys: np.ndarray) -> bytes:
+    """The lower five bytes of each key."""
+    return keys.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(keys: bytes) -> np.ndarray:
+    wide = np.zeros((len(keys) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(keys, np.uint8).reshape(-1, 5)
+    return wide.view(np.uint64).ravel()
+
+
+def _levels(keys: list[np.ndarray], counts: list[np.ndarray], bits: int | None) -> list[bytes]:
+    """Fills a segment with the keys of all groups and reads it for each: levels as bytes, 0 where level 1 is missing."""
+    k, c = _packed(np.concatenate(keys), np.concatenate(counts))
+    held = c > 0
+    filled = LogBloom.fill(k[held], c[held], bits or LogBloom.room(c[held]))
+    read = LogBloom(filled[None, :], top=int(level(c[held]).max(initial=0))).counts(k)
+    q = np.where(read > 0, level(np.maximum(read, 1)), 0).astype(np.uint8)
+    return [q[np.searchsorted(k, x)].tobytes() for x in keys]
+
+
+def score(docs: DataFrame, mod: int = 7, held: int = 2, bits: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Words are counted over all rows that are not held out (crc32 of doc_id as text, mod 7, is 2; null as 'null'). A
     null text is empty: its one token is the end. Repeated rows are counted and scored each. With no training rows
-    all counts are 0 and both scores come from the smoothing alone.
+    all counts are 0 and both scores come from the smoothing alone. `bits` gives the filter a fixed size, whatever the
+    number of pairs.
     """
     spark = docs.sparkSession
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold_of(F.col("doc_id"), mod) == held).alias("held_out"))
     size = kept.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
     groups = max(1, math.ceil(size / GROUP_BYTES))
-    words = max(8, groups // 2)  # buckets of words
-    segments = SEGMENTS
-    segment_bits = bits // segments
+    words = max(8, groups // 2)  # buckets of words; after them come the segments of the filter
+    segments = max(SEGMENTS, groups // 4)
+    segment_bits = bits and max(64, bits // segments // 8 * 8)
     grouped = kept.withColumn("group", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(groups)))
 
-    def pairs(it):  # of each group of training texts: distinct pairs and counts, by segment of the filter
-        for b in it:
-            learn = b.filter(pc.invert(b.column("held_out"))) if b.num_rows else b
-            for _, tokens, sizes in _texts(pa.Table.from_batches([learn])):
-                k, c = _packed(pairs_of(tokens, sizes), np.ones(len(tokens), np.int64))
-                s = LogBloom.segment(k, segments)
-                order = np.argsort(s, kind="stable")
-                k, c, s = k[order] & np.uint64((1 << 40) - 1), c[order], s[order]
-                cuts = np.searchsorted(s, np.arange(segments + 1)).tolist()
-                rows = [(j, k[x:y], c[x:y]) for j, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([j for j, _, _ in rows], pa.int64()), pa.array([x.view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for _, x, _ in rows], pa.binary()), pa.array([x.astype(np.uint32).tobytes() if x.max() > 255 else x.astype(np.uint8).tobytes() for _, _, x in rows], pa.binary())],
-                    ["segment", "keys", "counts"],
-                )
-
-    def fill(t: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for k, c in zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), strict=True):
-            wide = np.zeros((len(k) // 5, 8), np.uint8)
-            wide[:, :5] = np.frombuffer(k, np.uint8).reshape(-1, 5)
-            keys.append(wide.view(np.uint64).ravel())
-            counts.append(np.frombuffer(c, np.uint8 if len(c) == len(wide) else np.uint32).astype(np.int64))
-        k, c = _packed(np.concatenate(keys), np.concatenate(counts))
-        return pa.table({"segment": t.column("segment").slice(0, 1), "bits": pa.array([LogBloom.fill(k, c, segment_bits).tobytes()], pa.binary()), "pairs": pa.array([len(k)], pa.int64())})
-
-    table = np.zeros((segments, segment_bits // 8), np.uint8)
-    for row in kept.mapInArrow(pairs, "segment long, keys binary, counts binary").groupBy("segment").applyInArrow(fill, "segment long, bits binary, pairs long").toArrow().to_pylist():
-        table[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    release(spark)
-    bloom = spark.sparkContext.broadcast(table)  # `bits` / 8 bytes, whatever the corpus
-
-    def count(t: pa.Table) -> pa.Table:  # of each group: distinct words with their counts in training texts, by bucket of words
-        keys, counts = [], []
+    def count(t: pa.Table) -> pa.Table:  # of each group: distinct words and pairs with their counts in training texts, by bucket
+        found: list[list] = [[], [], [], []]
         learn = ~t.column("held_out").to_numpy(zero_copy_only=False)
         for first, tokens, sizes in _texts(t):
-            k, c = _packed(tokens, np.repeat(learn[first : first + len(sizes)], sizes).astype(np.int64))
-            keys.append(k)
-            counts.append(c)
-        k, c = _packed(np.concatenate(keys), np.concatenate(counts))
-        s = (k % np.uint64(words)).astype(np.int64)
-        order = np.argsort(s, kind="stable")
-        k, c, s = k[order], c[order], s[order]
-        cuts = np.searchsorted(s, np.arange(words + 1)).tolist()
-        rows = [(j, x, y) for j, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            weight = np.repeat(learn[first : first + len(sizes)], sizes).astype(np.int64)
+            for col, x in zip(found, (*_packed(tokens, weight), *_packed(pairs_of(tokens, sizes), weight)), strict=True):
+                col.append(x)
+        rows = []
+        k, c = _packed(np.concatenate(found[0]), np.concatenate(found[1]))
+        order, parts = _dealt((k % np.uint64(words)).astype(np.int64), words)
+        k, c = k[order], c[order].astype(np.uint32)
+        rows += [(j, k[x:y].tobytes(), c[x:y].tobytes()) for j, x, y in parts]
+        k, c = _packed(np.concatenate(found[2]), np.concatenate(found[3]))
+        order, parts = _dealt(LogBloom.segment(k, segments), segments)
+        k, c = k[order], c[order]
+        rows += [(words + j, _short(k[x:y]), c[x:y].astype(np.uint32 if c[x:y].max() > 255 else np.uint8).tobytes()) for j, x, y in parts]
         group = t.column("group")[0].as_py()
-        return pa.table([pa.array([group] * len(rows), pa.int64()), pa.array([j for j, _, _ in rows], pa.int64()), pa.array([k[x:y].tobytes() for _, x, y in rows], pa.binary()), pa.array([c[x:y].astype(np.uint32).tobytes() for _, x, y in rows], pa.binary())], names=["group", "bucket", "keys", "counts"])
-
-    def total(t: pa.Table) -> pa.Table:  # of each bucket of words: the counts over all groups, sent back to each group
-        keys = [np.frombuffer(k, np.uint64) for k in t.column("keys").to_pylist()]
-        counts = [np.frombuffer(c, np.uint32).astype(np.int64) for c in t.column("counts").to_pylist()]
-        k, c = _packed(np.concatenate(keys), np.concatenate(counts))
-        back = [c[np.searchsorted(k, x)].tobytes() for x in keys]
-        return pa.table([t.column("group"), t.column("keys"), pa.array(back, pa.binary()), pa.array([int(c.sum())] * len(keys), pa.int64()), pa.array([int((c > 0).sum())] * len(keys), pa.int64()), t.column("bucket")], names=["group", "keys", "totals", "n", "v", "bucket"])
+        return pa.table([pa.array([group] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary())))], names=["group", "bucket", "keys", "counts"])
+
+    def total(t: pa.Table) -> pa.Table:  # of each bucket of words the counts over all groups, of each segment the levels; sent back to each group, which makes its keys again
+        bucket, keys, counts = t.column("bucket")[0].as_py(), t.column("keys").to_pylist(), t.column("counts").to_pylist()
+        if bucket < words:
+            ks = [np.frombuffer(x, np.uint64) for x in keys]
+            k, c = _packed(np.concatenate(ks), np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for x in counts]))
+            back, n, v = [c[np.searchsorted(k, x)].tobytes() for x in ks], int(c.sum()), int((c > 0).sum())
+        else:
+            back = _levels([_long(x) for x in keys], [np.frombuffer(c, np.uint8 if len(c) == len(k) // 5 else np.uint32).astype(np.int64) for k, c in zip(keys, counts, strict=True)], segment_bits)
+            n = v = 0
+        return pa.table([t.column("group"), t.column("bucket"), pa.array(back, pa.binary()), pa.array([n] * len(keys), pa.int64()), pa.array([v] * len(keys), pa.int64())], names=["group", "bucket", "totals", "n", "v"])
 
     counted = grouped.groupBy("group").applyInArrow(count, "group long, bucket long, keys binary, counts binary")
-    totals = counted.groupBy("bucket").applyInArrow(total, "group long, keys binary, totals binary, n long, v long, bucket long")
-    totals = written(totals, "word-counts")
-    release(spark)
+    totals = counted.groupBy("bucket").applyInArrow(total, "group long, bucket long, totals binary, n long, v long")
+    totals = written(totals, "counts")
     n, v = totals.groupBy("bucket").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    del counted
+    release(spark)  # only now: right after a job its events still hold its shuffles
 
     def rate(t: pa.Table, own: pa.Table) -> pa.Table:
-        filter_ = LogBloom(bloom.value)
-        k = np.concatenate([np.frombuffer(x, np.uint64) for x in own.column("keys").to_pylist()])
-        c = np.concatenate([np.frombuffer(x, np.int64) for x in own.column("totals").to_pylist()])
-        order = np.argsort(k)
-        k, c = k[order], c[order]
+        own = own.sort_by("bucket")
+        of = pa.array(own.column("bucket").to_numpy() < words)
+        runs = [(tokens, sizes, pairs_of(tokens, sizes)) for _, tokens, sizes in _texts(t)]
+        k = np.unique(np.concatenate([tokens for tokens, _, _ in runs]))
+        order, _ = _dealt((k % np.uint64(words)).astype(np.int64), words)  # as count() sent them
+        c = np.zeros(len(k), np.int64)
+        c[order] = np.frombuffer(b"".join(own.filter(of).column("totals").to_pylist()), np.int64)
+        pairs = np.unique(np.concatenate([pair for _, _, pair in runs]))
+        order, _ = _dealt(LogBloom.segment(pairs, segments), segments)
+        q = np.frombuffer(b"".join(own.filter(pc.invert(of)).column("totals").to_pylist()), np.uint8)
+        often = np.zeros(len(pairs))
+        often[order] = np.where(q > 0, 2.0 ** (q.astype(np.int64) - 1), 0.0)
         cols: list[list] = [[], [], [], []]
-        for _, tokens, sizes in _texts(t):
+        for tokens, sizes, pair in runs:
             f = c[np.searchsorted(k, tokens)].astype(np.float64)
             word = (f + 1) / (n + v + 1)
             before = np.empty_like(f)
             before[1:] = f[:-1]
             starts = np.cumsum(sizes) - sizes
             before[starts] = c[np.searchsorted(k, END)]
-            pair = np.minimum(filter_.counts(pairs_of(tokens, sizes)), np.minimum(before, f))
-            whole = np.log10((pair + PRIOR * word) / (before + PRIOR))
+            both = np.minimum(often[np.searchsorted(pairs, pair)], np.minimum(before, f))
+            whole = np.log10((both + PRIOR * word) / (before + PRIOR))
             for col, x in zip(cols, (sizes, np.add.reduceat(f > 0, starts, dtype=np.int64), np.add.reduceat(np.log10(word), starts), np.add.reduceat(whole, starts)), strict=True):
                 col.append(x)
         a, b, x, y = (np.concatenate(col) for col in cols)
         return pa.table([t.column("doc_id"), t.column("held_out"), pa.array(a), pa.array(b), pa.array([n] * len(a), pa.int64()), pa.array(x), pa.array(y)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    own = totals.select(F.col("group").alias("into"), "keys", "totals")
+    own = totals.select(F.col("group").alias("into"), "bucket", "totals")
     return grouped.groupBy("group").cogroup(own.groupBy("into")).applyInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
