@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,13 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests), a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; a cluster gets an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not (kept := spark.sparkContext.getCheckpointDir()):
-            kept = tempfile.mkdtemp(prefix="tideline-")
-            spark.sparkContext.setCheckpointDir(kept)
-        found = kept
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tideline-")
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
@@ -37,27 +39,37 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tideline-{what}-{uuid.uuid4().hex}"
 
 
+#: With it on, Spark deletes a query's shuffle files as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files: their results are tables, and nothing reads the shuffles again."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: later readers don't compute it again, and a lost executor takes nothing away."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str | None) -> None:
+def remove(table: DataFrame) -> None:
     """Deletes a table that written() made and no plan reads any more."""
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs; it acts when the driver's JVM collects its garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if "/tideline-" in folder:
+            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 REST = "__rest"
@@ -120,31 +132,71 @@ def powers(n: int, base: int) -> np.ndarray:
 _BASE, _INV = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
 
 
+#: Bytes of text, or words, that the kernels below hash at once.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _long_word(word: bytes) -> int:
+    """What hash_words() sums up for one word, a piece at a time."""
+    total, scale, step = 0, 1, pow(_BASE, PIECE, 1 << 64)
+    p = powers(min(PIECE, len(word)), _BASE)
+    for at in range(0, len(word), PIECE):
+        b = np.frombuffer(word, np.uint8, min(PIECE, len(word) - at), at).astype(np.uint64) + np.uint64(1)
+        total = (total + scale * int((b * p[: len(b)]).sum(dtype=np.uint64))) & (2**64 - 1)
+        scale = scale * step & (2**64 - 1)
+    return total
+
+
+def _piece_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and length of each word of some bytes."""
+    buf = np.frombuffer(data, np.uint8)
+    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if len(starts) == 1 and ends[0] - starts[0] > PIECE:
+        sums = np.array([_long_word(data[starts[0] : ends[0]])], np.uint64)
+    else:
+        h = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf), _BASE), out=h[1:])
+        sums = (h[ends] - h[starts]) * powers(len(buf) + 1, _INV)[starts]
+    return mix(sums ^ ((ends - starts).astype(np.uint64) * _MULT)), starts, ends - starts
+
+
 def hash_words(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a run of texts in order, and the number of words of each text.
 
-    Polynomial prefix sums over the bytes: no Python object for any word.
+    Polynomial prefix sums over the bytes: no Python object for any word. A word's hash depends on its bytes alone, so
+    texts are hashed in pieces of about PIECE bytes, cut at white space: what is held beside the hashes doesn't grow with a text.
     """
-    buf = np.frombuffer(b"\n".join(run) + b"\n", np.uint8)
-    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
-    edge = np.diff(np.concatenate(([True], space)).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    p = powers(len(buf) + 1, _BASE)
-    h = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[:-1], out=h[1:])
-    words = (h[ends] - h[starts]) * powers(len(buf) + 1, _INV)[starts]
-    sizes = np.array([len(b) + 1 for b in run], np.int64)
-    of = np.searchsorted(np.cumsum(sizes), starts, side="right")
-    return mix(words ^ ((ends - starts).astype(np.uint64) * _MULT)), np.bincount(of, minlength=len(run)).astype(np.int64)
+    data = run[0] if len(run) == 1 else b"\n".join(run)
+    ends = np.cumsum(np.fromiter(map(len, run), np.int64, len(run)) + 1)
+    found, of, at = [], np.zeros(len(run), np.int64), 0
+    while at < len(data):
+        upto = len(data)
+        if upto - at > PIECE:
+            if (back := max(data.rfind(c, at, at + PIECE) for c in b" \n\t\r\v\f")) > at:
+                upto = back
+            elif data[at : at + 1].isspace():
+                upto = at + 1
+            elif cut := _SPACE.search(data, at + PIECE):
+                upto = cut.start()
+        words, starts, _ = _piece_words(data[at:upto])
+        found.append(words)
+        of += np.bincount(np.searchsorted(ends, starts + at, side="right"), minlength=len(run))
+        at = upto
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), of
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each n consecutive words (len(words) - n + 1 of them)."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * powers(len(words), _BASE), out=h[1:])
-    return mix((h[n:] - h[:-n]) * powers(len(words) - n + 1, _INV))
+    """Hash of each n consecutive words (len(words) - n + 1 of them), PIECE at a time."""
+    out = np.zeros(max(0, len(words) - n + 1), np.uint64)
+    for at in range(0, len(out), PIECE):
+        some = words[at : at + PIECE + n - 1]
+        h = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(some * powers(len(some), _BASE), out=h[1:])
+        out[at : at + PIECE] = mix((h[n:] - h[:-n]) * powers(len(some) - n + 1, _INV))
+    return out
 
 
 def batches(it: Iterable, names: list[str]) -> Iterator[list[list]]:

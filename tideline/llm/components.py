@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import release, written
+from tideline.llm.common import remove, written
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -28,18 +28,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node of edges (u, v), both long; the root is the smallest node that can be reached.
 
     Loops and repeated edges do no harm. Each round is written to the shared folder, so nothing is computed twice
-    and a lost executor costs one round at most. Rounds end when a round changes nothing, some log of the longest path.
+    and a lost executor costs one round at most; a round's predecessor is deleted. Rounds end when a round changes nothing, some log of the longest path.
     """
-    spark = edges.sparkSession
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        now = written(_stars(written(_stars(now, False), "large"), True), "small")
+        large = written(_stars(now, False), "large")
+        before, now = now, written(_stars(large, True), "small")
+        remove(before)
+        remove(large)
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("v")).first())
         if seen == mark:
             break
         mark = seen
-        release(spark)
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, fold_of, hash_words, mix, release, slices, written
+from tideline.llm.common import LOWER, fold_of, hash_words, mix, slices, written
 
 #: Bits of the filter for a stored pair and level (0.4 % false hits), segments at least; probes of a level.
 PAIR_BITS, SEGMENTS, PROBES = 32, 32, 2
@@ -195,8 +195,6 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, bits: int | None = None)
     totals = counted.groupBy("bucket").applyInArrow(total, "group long, bucket long, totals binary, n long, v long")
     totals = written(totals, "counts")
     n, v = totals.groupBy("bucket").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    del counted
-    release(spark)  # only now: right after a job its events still hold its shuffles
 
     def rate(t: pa.Table, own: pa.Table) -> pa.Table:
         own = own.sort_by("bucket")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.bpe import load_ranks
-from tideline.llm.common import fresh_path, mix, release, remove, slices, written
+from tideline.llm.common import fresh_path, mix, slices, written
 
 LENGTH, ROUNDS, KEY = 128, 4, 20240229
 SHARD_BYTES = 8 << 20
@@ -112,7 +112,6 @@ def materialise(docs: DataFrame, path: str, rank_path: str, pattern: str, length
     before, n = {}, 0
     for part, total in totals:
         before[part], n = n, n + total
-    release(spark)
     per_shard = max(1, shard_bytes // stride)
     fs, folder = pafs.FileSystem.from_uri(path)
     fs.create_dir(folder)
@@ -173,8 +172,6 @@ def materialise(docs: DataFrame, path: str, rank_path: str, pattern: str, length
     for wave in range(waves):
         dealt = rows.mapInArrow(partial(deal, wave=wave, waves=waves), "shard long, slot long, seq long, doc_id long, doc_seq long, n_tokens long, data binary")
         dealt.groupBy("shard").applyInArrow(write, SLOTS).write.mode("append").option("compression", "zstd").parquet(found)
-        release(spark)
-    remove(spark, rows.inputFiles()[0].rpartition("/")[0] if n else None)
     return spark.read.schema(SLOTS).parquet(found).mapInArrow(read_back, f"{SLOTS}, sha256 string")
 
 
