@@ -33,7 +33,7 @@ def rows():
 def docs(spark, rows):
     """The rows, with other columns whose names the operators use themselves."""
     df = spark.createDataFrame(rows, SCHEMA)
-    clash = ("key", "line", "shared", "group", "fp", "score", "size", "target", "taken", "quota", "first", "_words")
+    clash = ("key", "line", "shared", "group", "fp", "score", "size", "target", "taken", "quota", "first", "_words", "__key", "__line", "__sha", "__k", "__id", "__first", "__kept", "k", "sha", "kept", "id", "n", "h")
     return df.select("*", *(F.lit(k).alias(n) for k, n in enumerate(clash))).repartition(3).cache()
 
 

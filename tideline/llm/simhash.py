@@ -18,12 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, written
+from tideline.llm.common import LOWER, brought_back, set_aside, written
 from tideline.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
-#: Variants that a task makes at once.
-AT_ONCE = 1 << 21
+#: Variants that a task makes at once; fingerprints of a bucket beyond which it is split.
+AT_ONCE, FULL = 1 << 21, 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -136,28 +136,69 @@ def meet(fps: np.ndarray, prefix: int, bucket: int, distance: int = DISTANCE) ->
     return fps[child], fps[parent[child]]
 
 
-def links(fps: DataFrame, prefix: int | None = None, distance: int = DISTANCE) -> DataFrame:
-    """Edges (u, v) that connect just the fingerprints (column fp, distinct longs) that chains of links connect."""
-    if prefix is None:  # buckets of some tens of thousands of fingerprints, whatever their number
-        prefix = int(min(16, max(8, np.ceil(np.log2(max(1, fps.count()) / 1e6) + 8))))
-    heads = np.concatenate(masks(prefix, distance // 2))
+def _sent(fps: np.ndarray, prefix: int, within: tuple[int, int] | None, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, place in fps) of every bucket of `prefix` bits in which some variant of a fingerprint begins; `within` keeps the buckets below a shorter one (bits, bucket)."""
+    if within is None:
+        heads = np.concatenate(masks(prefix, half))
+        return ((fps >> np.uint64(64 - prefix))[:, None] ^ heads[None, :]).ravel(), np.repeat(np.arange(len(fps)), len(heads))
+    short, bucket = within
+    used = np.bitwise_count((fps >> np.uint64(64 - short)) ^ np.uint64(bucket)).astype(np.int64)
+    more = np.uint64((1 << (prefix - short)) - 1)
+    to, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for f in range(half + 1):
+        at = np.flatnonzero(used == f)
+        tails = np.concatenate(masks(prefix - short, half - f))
+        to.append((np.uint64(bucket << (prefix - short)) | ((fps[at] >> np.uint64(64 - prefix)) & more)[:, None] ^ tails[None, :]).ravel())
+        who.append(np.repeat(at, len(tails)))
+    return np.concatenate(to), np.concatenate(who)
+
+
+def links(fps: DataFrame, prefix: int | None = None, distance: int = DISTANCE, full: int = FULL) -> DataFrame:
+    """Edges (u, v) that connect just the fingerprints (column fp, distinct longs) that chains of links connect.
+
+    The prefix grows with the number of fingerprints, so that a bucket holds some tens or hundreds of thousands of them,
+    whatever their number. A bucket that gets more than `full` (families of near copies begin alike) is split by its next bits.
+    """
+    half = distance // 2
+    if prefix is None:
+        prefix = int(max(8, np.ceil(np.log2(max(1, fps.count()) / 1e6) + 8)))
+
+    def packed(to, what):
+        order = np.argsort(to, kind="stable")
+        to = to[order]
+        cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, int)
+        return to[cuts], [what[order[x:y]] for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(to)).tolist(), strict=True)]
+
+    def count(it):
+        for b in it:
+            to, who = _sent(b.column("fp").to_numpy().view(np.uint64), prefix, None, half)
+            which, n = np.unique(to, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(which.view(np.int64)), pa.array(n, pa.int64())], ["bucket", "n"])
+
+    sizes = fps.select("fp").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > full)
+    # at most (fingerprints * buckets of one / full) rows
+    crowded = {r["bucket"]: min(64 - half, prefix + int(np.ceil(np.log2(r["n"] / full))) + 4) for r in sizes.collect()}
 
     def send(it):
         for b in it:
             f = b.column("fp").to_numpy().view(np.uint64)
-            to = ((f >> np.uint64(64 - prefix))[:, None] ^ heads[None, :]).ravel()
-            order = np.argsort(to, kind="stable")
-            sent, to = np.repeat(f, len(heads))[order], to[order]
-            cuts = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, int)
-            ends = np.append(cuts[1:], len(to))
-            yield pa.RecordBatch.from_arrays([pa.array(to[cuts].astype(np.int64), pa.int64()), pa.array([sent[x:y].tobytes() for x, y in zip(cuts.tolist(), ends.tolist(), strict=True)], pa.binary())], ["bucket", "fps"])
+            to, held = packed(*(lambda to, who: (to, f[who]))(*_sent(f, prefix, None, half)))
+            rows = []
+            for bucket, some in zip(to.tolist(), held, strict=True):
+                if bucket in crowded:
+                    inner, who = _sent(some, crowded[bucket], (prefix, bucket), half)
+                    rows += [(crowded[bucket], x, y.tobytes()) for x, y in zip(*(lambda a, c: (a.tolist(), c))(*packed(inner, some[who])), strict=True)]
+                else:
+                    rows.append((prefix, bucket, some.tobytes()))
+            n, x, y = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(np.array(x, np.uint64).view(np.int64)), pa.array(y, pa.binary())], ["bits", "bucket", "fps"])
 
     def join(t: pa.Table) -> pa.Table:
         held = np.frombuffer(b"".join(t.column("fps").to_pylist()), np.uint64)
-        u, v = meet(held, prefix, t.column("bucket")[0].as_py(), distance)
+        u, v = meet(held, t.column("bits")[0].as_py(), t.column("bucket")[0].as_py() & (2**64 - 1), distance)
         return pa.table({"u": pa.array(u.view(np.int64), pa.int64()), "v": pa.array(v.view(np.int64), pa.int64())})
 
-    return fps.select("fp").mapInArrow(send, "bucket long, fps binary").groupBy("bucket").applyInArrow(join, "u long, v long").distinct()
+    return fps.select("fp").mapInArrow(send, "bits int, bucket long, fps binary").groupBy("bits", "bucket").applyInArrow(join, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, carry: list[str] = [], distance: int = DISTANCE) -> DataFrame:  # noqa: B006
@@ -185,10 +226,12 @@ def kept(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays, once.
 
     Of several rows with that doc_id one of the smallest text hash stays; of rows that are wholly equal, one. A
-    component of null ids alone keeps one row. Only ids and hashes are compared: texts are read again at the end.
+    component of null ids alone keeps one row. Only ids and hashes are compared: texts are read again at the end. Other
+    columns are set aside, whatever their names.
     """
-    key = F.xxhash64("text")
-    found = near_duplicates(docs.withColumn("__key", key), ["__key"], distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    one = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("__fp")).agg(F.min("__key").alias("__k")).select(F.col("component_id").alias("__id"), "__k")
-    back = docs.withColumn("__key", key).join(one, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
-    return back.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    plain = ("doc_id", "text")
+    keyed = set_aside(docs, *plain).withColumn("key", F.xxhash64("text"))
+    found = near_duplicates(keyed.select("doc_id", "text", "key"), ["key"], distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")).agg(F.min("key").alias("k")).select(F.col("component_id").alias("id"), "k")
+    back = keyed.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")))
+    return brought_back(back.dropDuplicates(["doc_id", "key"]), docs.columns, plain)
