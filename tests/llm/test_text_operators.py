@@ -190,20 +190,41 @@ def test_bloom_grows_with_its_pairs():
         assert (seen == 1).all() and (unseen > 0).mean() < 0.01
 
 
-def test_ngram_pairs_over_groups(docs, rows, monkeypatch):
+@pytest.mark.parametrize("orders, fan", [(2, 512), (4, 512), (4, 3)])
+def test_ngram_scores_over_groups(docs, rows, monkeypatch, orders, fan):
+    """Scores against plain counting, where counts of many groups are added up at once and in a tree."""
     monkeypatch.setattr(ngrams, "GROUP_BYTES", 4000)
-    tokens = [(i, [None, *(t or "").encode().translate(LOWER).split(), None]) for i, t, *_ in rows]
-    learn = [t for i, t in tokens if zlib.crc32(str("null" if i is None else i).encode()) % 7 != 2]
-    f, both = Counter(w for t in learn for w in t[1:]), Counter(p for t in learn for p in zip(t, t[1:], strict=False))
-    n, v = sum(f.values()), len(f)
-
-    def prob(a, b):
-        pair = min(2 ** (both[a, b].bit_length() - 1) if both[a, b] else 0, f[a], f[b])
-        return math.log10((pair + 4 * (f[b] + 1) / (n + v + 1)) / (f[a] + 4))
-
-    want = {(i, len(t) - 1, round(sum(prob(*p) for p in zip(t, t[1:], strict=False)), 6)) for i, t in tokens}
-    got = {(r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in ngrams.score(docs).collect()}
-    assert len(got - want) <= 3  # those with a false hit
+    tokens = [(i, [*(t or "").encode().translate(LOWER).split(), None]) for i, t, *_ in rows]
+    counts = [Counter() for _ in range(orders + 1)]
+    learnt = 0
+    for i, t in tokens:
+        if zlib.crc32(str("null" if i is None else i).encode()) % 7 != 2:
+            learnt += 1
+            padded = [None] * orders + t
+            for k in range(orders, len(padded)):
+                for n in range(1, orders + 1):
+                    counts[n][tuple(padded[k - n + 1 : k + 1])] += 1
+    n, v = sum(counts[1].values()), len(counts[1])
+    quantised = lambda c: 2 ** (c.bit_length() - 1) if c else 0
+
+    def often(padded, k, m):
+        """How often the m words up to k stand, as the model knows it."""
+        if k == orders - 1:
+            return learnt
+        here = counts[m][tuple(padded[k - m + 1 : k + 1])]
+        return here if m == 1 else min(quantised(here), often(padded, k, m - 1), often(padded, k - 1, m - 1))
+
+    want = set()
+    for i, t in tokens:
+        padded, total = [None] * orders + t, 0.0
+        for k in range(orders, len(padded)):
+            p = (often(padded, k, 1) + 1) / (n + v + 1)
+            for m in range(2, orders + 1):
+                p = (often(padded, k, m) + 4 * p) / (often(padded, k - 1, m - 1) + 4)
+            total += math.log10(p)
+        want.add((i, len(t), round(total, 6)))
+    got = {(r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in ngrams.score(docs, orders=orders, fan=fan).collect()}
+    assert len(got - want) <= 3 * (orders - 1)  # those with a false hit
 
 
 def test_license_templates():
