@@ -1,11 +1,16 @@
 """Approximate nearest neighbours by inner product: a navigable small-world graph per shard, as flat arrays.
 
-Distinct vectors are dealt to shards by their hash. A shard's graph has levels as usual: level 0 holds all its
-vectors with up to 2 M neighbours each, a higher level one in M of the level below with up to M neighbours, all in
-flat int32 arrays. Vectors get one more component so that all have the same length, which turns the largest inner
-product into the smallest distance; they are put in batches, each found its neighbours by searching the graph so far
-(and the batch itself), spread out by the usual heuristic. Search runs all queries of a block at once in numpy.
-Shards' results are merged by exact scores in double precision.
+Distinct vectors are dealt to shards by length and direction: first by the power of two of their length (so that one long
+vector does not drown all others in a shard's arithmetic), then by the nearest of some pivots, which are fitted on a
+bounded sample; a crowded cell has several shards. A shard's graph has levels as usual: level 0 holds all its vectors with
+up to 2 M neighbours each, a higher level one in M of the level below with up to M neighbours, all in flat int32 arrays.
+Vectors are scaled by their power of two and get one more component so that all have the same length, which turns the
+largest inner product into the smallest distance; they are put in batches, each found its neighbours by searching the
+graph so far (and the batch itself), spread out by the usual heuristic. Search runs all queries of a block at once in numpy.
+
+A query goes to the cells that promise most. How many is measured: SAMPLE_QUERIES queries are compared with all vectors,
+and as many cells are asked as hold COVER of their true neighbours. So the work for a query does not grow with the number
+of shards, unless the data have no structure that cells could follow. Results are merged by exact scores in double precision.
 """
 
 from __future__ import annotations
@@ -18,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import written
+from tideline.llm.common import remove, written
 
-K, M, BUILD, SEARCH = 20, 16, 64, 160
+K, M, BUILD, SEARCH = 20, 24, 96, 320
 #: Vectors of a shard on average; queries of a block.
 SHARD_ROWS, BLOCK = 16_384, 512
+#: Vectors that pivots are fitted on, at most; vectors of the sample for each pivot, at least; rounds of the fit.
+SAMPLE, PER_PIVOT, ROUNDS = 65_536, 16, 6
+#: Queries on which the number of cells is measured; the share of their true neighbours to be reached; up to so many cells all are asked.
+SAMPLE_QUERIES, COVER, FEW_CELLS = 256, 0.99, 4
 
 
 class Graph:
-    """One shard: vectors (n, d) float32, and per level the members and their neighbours (-1 pads)."""
+    """One shard: vectors (n, d) of similar lengths, none over 1, and per level the members and their neighbours (-1 pads)."""
 
     def __init__(self, vectors: np.ndarray, m: int = M, build: int = BUILD, seed: int = 11):
         self.m, self.build = m, build
@@ -211,11 +220,120 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
+def band_of(vector: Column) -> Column:
+    """The power of two below a vector's length (its length is at least 2**band and less than twice that)."""
+    most = F.array_max(F.transform(vector, F.abs))
+    square = F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + (x / most) * (x / most))
+    return F.floor(F.log2(most) + F.log2(square) / 2).cast("int")
+
+
 def _floats(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1, however long they were."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def fit_pivots(x: np.ndarray, n: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
+    """n directions (or fewer) around which the rows of x, themselves directions, lie."""
+    pivots = x[np.random.default_rng(seed).permutation(len(x))[:n]].copy()
+    for _ in range(rounds):
+        near = np.concatenate([(x[at : at + 4096] @ pivots.T).argmax(axis=1) for at in range(0, len(x), 4096)])
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        pivots = np.where(size > 0, sums / np.maximum(size, 1e-30), pivots)
+    return pivots
+
+
+class Cells:
+    """Pivots of each band of one dimension: bands (cells,) and pivots (cells, dim)."""
+
+    def __init__(self, bands: np.ndarray, pivots: np.ndarray):
+        self.bands, self.pivots = bands, pivots
+
+    def cell(self, x: np.ndarray, bands: np.ndarray) -> np.ndarray:
+        """The cell of each vector: of those of its band the one with the nearest pivot."""
+        out, u = np.zeros(len(x), np.int64), directions(x)
+        for band in np.unique(bands):
+            mine, rows = np.flatnonzero(self.bands == band), np.flatnonzero(bands == band)
+            out[rows] = mine[(u[rows] @ self.pivots[mine].T).argmax(axis=1)]
+        return out
+
+    def ranked(self, q: np.ndarray) -> np.ndarray:
+        """Cells by what they promise each query, best first: long vectors and near directions."""
+        promise = np.log2(1.0001 + directions(q) @ self.pivots.T) + self.bands
+        return np.argsort(-promise, axis=1, kind="stable")
+
+
+def _cells(places: DataFrame, shard_rows: int) -> dict[int, Cells]:
+    """Cells of each dimension, fitted on at most about SAMPLE vectors (those with the smallest hashes)."""
+    sizes = places.groupBy("dim", "band").count().collect()  # a row for each power of two that occurs: some 2,100 a dimension at most
+    total = sum(r["count"] for r in sizes)
+    share = min(1.0, SAMPLE / max(total, 1))
+    sample: dict[tuple[int, int], np.ndarray] = {}
+    if any(r["count"] > shard_rows for r in sizes):
+        rows = places.filter(F.pmod(F.xxhash64("h", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))).select("dim", "band", "v").toArrow()
+        dims, bands = rows.column("dim").to_numpy(), rows.column("band").to_numpy()
+        for dim, band in {(r["dim"], r["band"]) for r in sizes if r["count"] > shard_rows}:
+            sample[dim, band] = directions(_floats(rows.filter(pa.array((dims == dim) & (bands == band))).column("v"), dim))
+    found: dict[int, tuple[list, list]] = {}
+    for r in sorted(sizes, key=lambda r: (r["dim"], r["band"])):
+        x = sample.get((r["dim"], r["band"]))
+        n = 0 if x is None else min(math.ceil(r["count"] / shard_rows), len(x) // PER_PIVOT)
+        pivots = fit_pivots(x, n) if n > 1 else np.zeros((1, r["dim"]), np.float32)
+        bands, every = found.setdefault(r["dim"], ([], []))
+        bands += [r["band"]] * len(pivots)
+        every.append(pivots)
+    return {dim: Cells(np.array(bands), np.concatenate(every)) for dim, (bands, every) in found.items()}
+
+
+def _asked_cells(placed: DataFrame, wanted: DataFrame, cells: dict[int, Cells], k: int) -> int:
+    """To how many cells a query has to go, so that COVER of the true k neighbours of a sample of queries are reached."""
+    most = max((len(c.bands) for c in cells.values()), default=1)
+    if most <= FEW_CELLS:
+        return most
+    rows = wanted.orderBy(F.xxhash64("h", F.lit("queries")), "h").limit(SAMPLE_QUERIES).select("dim", "v").toArrow()
+    asked = {}
+    for dim in set(rows.column("dim").to_pylist()) & set(cells):
+        q = _floats(rows.filter(pa.array(rows.column("dim").to_numpy() == dim)).column("v"), dim)
+        place = np.argsort(cells[dim].ranked(q), axis=1)  # of each cell in each query's order
+        asked[dim] = (directions(q).astype(np.float64), place)
+
+    def run(it):
+        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in it:
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                if dim not in asked:
+                    continue
+                part = b.filter(pa.array(dims == dim))
+                q, place = asked[dim]
+                cell = part.column("cell").to_numpy()
+                scores, ranks = q @ _floats(part.column("v"), dim).T, place[:, cell]
+                if dim in kept:
+                    scores, ranks = (np.concatenate(x, axis=1) for x in ((kept[dim][0], scores), (kept[dim][1], ranks)))
+                best = np.argsort(-scores, axis=1, kind="stable")[:, : k + 1]
+                kept[dim] = np.take_along_axis(scores, best, 1), np.take_along_axis(ranks, best, 1)
+        for dim, (scores, ranks) in kept.items():
+            n = scores.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(scores.size, dim), pa.int32()), pa.array(np.repeat(np.arange(len(scores)), n)), pa.array(scores.ravel()), pa.array(ranks.ravel(), pa.int64())], ["dim", "q", "score", "rank"])
+
+    near = placed.select("dim", "cell", "v").mapInArrow(run, "dim int, q long, score double, rank long")
+    best = near.withColumn("r", F.row_number().over(Window.partitionBy("dim", "q").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1)
+    counts = dict(best.groupBy("rank").count().collect())
+    reached, total = 0, sum(counts.values())
+    for rank in range(most):
+        reached += counts.get(rank, 0)
+        if reached >= COVER * total:
+            return max(rank + 1, FEW_CELLS)
+    return most
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, width: int = SEARCH, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k rows of `vectors` found nearest to each row of `queries`.
 
@@ -225,24 +343,66 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
     Vectors of different lengths are not compared. Fewer than k candidates: all of them. Equal vectors are one place of
     the graph with their k + 1 smallest ids: a query can return no more of them.
     """
-    held = written(vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("h", F.xxhash64("v")), "vectors")
+    held = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("h", F.xxhash64("v"))
     asked = written(queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("query_id").isNotNull() & usable(F.col("v"))).withColumn("h", F.xxhash64("v")).distinct(), "queries")
     first = F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))  # Spark limits each partition's ranks before the shuffle
-    places = written(held.distinct().withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("dim", F.size("v")), "places")
-    shards = max(1, math.ceil(places.count() / shard_rows))
+    equal = held.distinct().withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    places = written(equal.withColumn("dim", F.size("v")).withColumn("band", band_of(F.col("v"))), "places")
+    cells = _cells(places, shard_rows)
+
+    def put(it):
+        for b in it:
+            dims, bands = b.column("dim").to_numpy(), b.column("band").to_numpy()
+            cell = np.zeros(b.num_rows, np.int32)
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                cell[rows] = cells[dim].cell(_floats(b.column("v").take(pa.array(rows)), dim), bands[rows])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
+
+    schema = "h long, v array<double>, ids array<long>, dim int, band int"
+    placed = written(places.select("h", "v", "ids", "dim", "band").mapInArrow(put, schema + ", cell int"), "placed")
+    remove(places)
+    #: Shards of each cell: one, or more where it is crowded.
+    shards = {(r["dim"], r["cell"]): math.ceil(r["count"] / (2 * shard_rows)) for r in placed.groupBy("dim", "cell").count().collect()}
+    wanted = written(asked.select("h", "v").distinct().withColumn("dim", F.size("v")), "wanted")
+    probes = _asked_cells(placed, wanted, cells, k)
 
     def build(t: pa.Table) -> pa.Table:
         dim = t.column("dim")[0].as_py()
         x = _floats(t.column("v"), dim)
         ids = t.column("ids").combine_chunks()
+        graph = Graph(np.ldexp(x, -1 - t.column("band")[0].as_py()).astype(np.float32))
         return pa.table(
-            [pa.array([dim], pa.int32()), t.column("shard").slice(0, 1), pa.array([Graph(x.astype(np.float32)).dump()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([ids.flatten().to_numpy().tobytes()], pa.binary()), pa.array([ids.value_lengths().to_numpy().astype(np.int64).tobytes()], pa.binary())],
-            names=["dim", "shard", "graph", "x", "ids", "sizes"],
+            [pa.array([dim], pa.int32()), t.column("cell").slice(0, 1), t.column("shard").slice(0, 1), pa.array([graph.dump()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([ids.flatten().to_numpy().tobytes()], pa.binary()), pa.array([ids.value_lengths().to_numpy().astype(np.int64).tobytes()], pa.binary())],
+            names=["dim", "cell", "shard", "graph", "x", "ids", "sizes"],
         )
 
-    index = written(places.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, graph binary, x binary, ids binary, sizes binary"), "graphs")
-    wanted = written(asked.select("h", "v").distinct().withColumn("dim", F.size("v")), "wanted")
-    parts = max(1, math.ceil(wanted.count() / (8 * BLOCK)))
+    spread = F.create_map(*(F.lit(x) for (dim, cell), n in shards.items() if n > 1 for x in (f"{dim}/{cell}", n)))
+    shard = F.pmod("h", F.coalesce(F.try_element_at(spread, F.concat_ws("/", "dim", "cell")), F.lit(1))) if any(n > 1 for n in shards.values()) else F.lit(0)
+    index = written(placed.withColumn("shard", shard.cast("int")).groupBy("dim", "cell", "shard").applyInArrow(build, "dim int, cell int, shard int, graph binary, x binary, ids binary, sizes binary"), "graphs")
+
+    def route(it):  # a row for each shard that a query goes to
+        for b in it:
+            dims = b.column("dim").to_numpy()
+            rows, to, of = [], [], []
+            for dim in np.unique(dims).tolist():
+                if dim not in cells:
+                    continue
+                mine = np.flatnonzero(dims == dim)
+                for at in range(0, len(mine), 2048):
+                    some = mine[at : at + 2048]
+                    for i, best in zip(some.tolist(), cells[dim].ranked(_floats(b.column("v").take(pa.array(some)), dim))[:, :probes].tolist(), strict=True):
+                        for c in best:
+                            for n in range(shards.get((dim, c), 0)):
+                                rows.append(i)
+                                to.append(c)
+                                of.append(n)
+            for at in range(0, len(rows), 4096):
+                x = slice(at, at + 4096)
+                yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows[x], pa.int64())).columns, pa.array(to[x], pa.int32()), pa.array(of[x], pa.int32())], [*b.schema.names, "at", "piece"])
+
+    routed = written(wanted.select("h", "v", "dim").mapInArrow(route, "h long, v array<double>, dim int, at int, piece int"), "routed")
+    parts = routed.groupBy("dim", "at", "piece").agg(F.ceil(F.count(F.lit(1)) / (8 * BLOCK)).cast("int").alias("parts")).withColumnRenamed("dim", "size")
 
     def search(graph: pa.Table, block: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -255,7 +415,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
             q, h = _floats(block.column("v"), dim), block.column("h").to_numpy()
             for at in range(0, len(q), BLOCK):
                 part = q[at : at + BLOCK]
-                found = g.search(part.astype(np.float32), max(width, k + 1))
+                found = g.search(directions(part), max(width, k + 1))
                 for i, near in enumerate(found):
                     near = near[near >= 0]
                     score = np.einsum("ij,j->i", x[near], part[i])
@@ -266,13 +426,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int
                     rows.append((h[at + i], part[i], every[best], score[best]))
         return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["h", "v", "ids", "scores"])
 
-    left = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    right = wanted.withColumn("into", F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumnRenamed("dim", "size")
-    found = left.groupBy("dim", "shard", "part").cogroup(right.groupBy("size", "at", "into")).applyInArrow(search, "h long, v array<double>, ids array<long>, scores array<double>")
+    there = [F.col("dim") == F.col("size"), F.col("cell") == F.col("at"), F.col("shard") == F.col("piece")]
+    copies = parts.select(*(F.col(c).alias(c) for c in ("size", "at", "piece")), F.col("parts").alias("copies"))
+    left = index.join(copies, there).drop("size", "at", "piece").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")  # a graph once for each few thousand of its queries
+    right = routed.withColumnRenamed("dim", "size").join(parts, ["size", "at", "piece"]).withColumn("into", F.pmod(F.xxhash64("h"), "parts").cast("int")).drop("parts")
+    found = left.groupBy("dim", "cell", "shard", "part").cogroup(right.groupBy("size", "at", "piece", "into")).applyInArrow(search, "h long, v array<double>, ids array<long>, scores array<double>")
     each = found.select("h", "v", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("h", "v", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     nearest_first = Window.partitionBy("h", "v").orderBy(F.desc("score"), "vec_id")
     merged = each.withColumn("r", F.row_number().over(nearest_first)).filter(F.col("r") <= k + 1).groupBy("h", "v").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
     merged = written(merged, "nearest")
+    for done in (placed, wanted, index, routed):
+        remove(done)
     mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = asked.join(merged, ["h", "v"]).select("query_id", F.posexplode(mine).alias("pos", "x"))
     return out.select("query_id", (F.col("pos") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
