@@ -1,16 +1,16 @@
 """Media columns: payloads as 8-bit images in archives, read back by a Spark data source.
 
 Texts become greyscale PNG images, 64 samples a row, in zip archives of bounded size in a folder that Python can
-open on every machine (any address pyarrow.fs knows). The data source plans byte ranges over the archives of a
-folder: the driver only sees their sizes; a task reads an archive's directory, takes the members that begin in its
-range, and streams them as Arrow batches. A member that fails is read again on its own from its offset; after the
+open on every machine (any address pyarrow.fs knows), beside a manifest of their names and sizes. The data source plans
+byte ranges over the archives of the manifest (of all in the folder, where there is none): the driver never opens one; a
+task reads an archive's directory, takes the members that begin in its range, and streams them as Arrow batches. A member that fails is read again on its own from its offset; after the
 last try it gives a row with `error` set instead of media.
 """
 
 from __future__ import annotations
 
 import hashlib
-import io
+import json
 import struct
 import sys
 import warnings
@@ -29,7 +29,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WIDTH = 64
-ARCHIVE_BYTES = RANGE_BYTES = 8 << 20
+#: Bytes of an archive; of a range, at least; and ranges at most, beyond which they are longer.
+ARCHIVE_BYTES, RANGE_BYTES, RANGES = 256 << 20, 16 << 20, 1 << 16
+MANIFEST = "manifest.jsonl"
 BATCH_BYTES = 4 << 20
 TRIES = 3
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -74,43 +76,63 @@ def from_png(media: bytes) -> tuple[bytes, int]:
     return lines[:, 1:].tobytes(), length
 
 
+class _Sink:
+    """What zipfile needs of a stream that only goes forward: members are written through, none is held."""
+
+    def __init__(self, out):
+        self.out, self.size = out, 0
+
+    def write(self, data) -> int:
+        self.out.write(data)
+        self.size += len(data)
+        return len(data)
+
+    def flush(self) -> None:
+        pass
+
+
 def write_archives(docs: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> int:
-    """Writes the texts of docs (doc_id, text) as images into zip archives in the folder `path`; returns their number.
+    """Writes the texts of docs (doc_id, text) as images into zip archives in the folder `path`, and a manifest; returns the number of archives.
 
-    A null text counts as empty. A task writes an archive beside its place and then moves it there, under a name
-    made of the partition's and the archive's number: a task that runs again replaces what an earlier try left.
+    A null text counts as empty. A task streams an archive to a place aside and then moves it, under a name made of the
+    partition's and the archive's number: a task that runs again replaces what an earlier try left. The manifest (a line
+    of name and size for each archive) is written when all are there.
     """
     fs, folder = pafs.FileSystem.from_uri(path)
     fs.create_dir(folder)
 
     def run(it):
         fs, folder = pafs.FileSystem.from_uri(path)
-        task, made, count = TaskContext.get(), 0, 0
-        buf, out = io.BytesIO(), None
+        task, count, made = TaskContext.get(), 0, []
+        sink = out = None
 
         def close():
-            nonlocal made, buf, out
+            nonlocal sink, out
             out.close()
-            name = f"{folder}/part-{task.partitionId():06d}-{made:04d}.zip"
-            with fs.open_output_stream(f"{folder}/_{task.taskAttemptId()}-{made}") as f:
-                f.write(buf.getbuffer())
-            fs.move(f"{folder}/_{task.taskAttemptId()}-{made}", name)
-            made, buf, out = made + 1, io.BytesIO(), None
+            sink.out.close()
+            name = f"part-{task.partitionId():06d}-{len(made):04d}.zip"
+            fs.move(f"{folder}/_{task.taskAttemptId()}-{len(made)}", f"{folder}/{name}")
+            made.append((name, sink.size))
+            sink = out = None
 
         for batch in it:
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 if out is None:
-                    out = zipfile.ZipFile(buf, "w", zipfile.ZIP_STORED)
+                    sink = _Sink(fs.open_output_stream(f"{folder}/_{task.taskAttemptId()}-{len(made)}"))
+                    out = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 out.writestr(zipfile.ZipInfo(f"{count:08d}_{key}.png"), to_png(data))
                 count += 1
-                if buf.tell() >= archive_bytes:
+                if sink.size >= archive_bytes:
                     close()
         if out is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], ["made"])
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in made], pa.string()), pa.array([b for _, b in made], pa.int64())], ["name", "bytes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "made long").agg(F.coalesce(F.sum("made"), F.lit(0))).first()[0]
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "name string, bytes long").collect()  # a row for each archive
+    with fs.open_output_stream(f"{folder}/{MANIFEST}") as f:
+        f.write("".join(json.dumps(list(r)) + "\n" for r in sorted(made)).encode())
+    return len(made)
 
 
 class ByteRange(InputPartition):
@@ -140,8 +162,13 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self):
         fs, folder = pafs.FileSystem.from_uri(self.path)
-        files = [f for f in fs.get_file_info(pafs.FileSelector(folder)) if f.is_file and f.base_name.endswith(".zip")]
-        return [ByteRange(f.path, at, at + self.range_bytes) for f in sorted(files, key=lambda f: f.path) for at in range(0, f.size, self.range_bytes)] or [ByteRange("", 0, 0)]
+        if fs.get_file_info(f"{folder}/{MANIFEST}").is_file:
+            with fs.open_input_stream(f"{folder}/{MANIFEST}") as f:
+                files = [(f"{folder}/{name}", size) for name, size in map(json.loads, f.read().splitlines())]
+        else:
+            files = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(folder)) if f.is_file and f.base_name.endswith(".zip"))
+        step = max(self.range_bytes, sum(size for _, size in files) // RANGES)
+        return [ByteRange(name, at, at + step) for name, size in files for at in range(0, size, step)] or [ByteRange("", 0, 0)]
 
     def read(self, part):
         if not part.path:
