@@ -107,8 +107,9 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """The model for docs (doc_id, text), from labels (doc_id, quality).
 
     Only ids with crc32 mod 3 other than 1 are learnt from. The fit reads the `positives` rows of label 1 and the
-    `unlabelled` documents with the smallest hashes of their ids: bounds that don't grow with the tables. Null ids,
-    labels and texts take no part. Repeated ids count once in a sample.
+    `unlabelled` documents with the smallest hashes of their ids: bounds that don't grow with the tables, as an id on
+    several rows gives the one of the smallest text hash. Null ids, labels and texts take no part. The class prior is the
+    share of label 1 among the training labels: an estimate that supposes them to be a random sample of the documents.
     """
     order = F.xxhash64("doc_id", F.lit("quality"))
     trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality")).filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold_of(F.col("doc_id"), 3) != 1))
@@ -124,7 +125,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
                 x = features(part)
                 yield pa.RecordBatch.from_arrays([b.column("_kind")[first : first + len(part)], b.column("doc_id")[first : first + len(part)], pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], ["_kind", "doc_id", "x"])
 
-    rows = held.join(F.broadcast(ids), "doc_id").select("_kind", "doc_id", "text").mapInArrow(run, "_kind int, doc_id long, x binary").toArrow().sort_by([("_kind", "ascending"), ("doc_id", "ascending"), ("x", "ascending")])
+    one = held.join(F.broadcast(ids), "doc_id").groupBy("_kind", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.mapInArrow(run, "_kind int, doc_id long, x binary").toArrow().sort_by([("_kind", "ascending"), ("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).reshape(-1, SIZE).astype(np.float32)
     kind = rows.column("_kind").to_numpy()
     return fit(x[kind == 1], x[kind == 0], 0.5 if prior is None else prior)
