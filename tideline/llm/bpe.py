@@ -25,8 +25,8 @@ from tideline.llm.common import batches, slices
 NONE = np.int32(np.iinfo(np.int32).max)
 #: Pieces of more bytes than this merge one at a time with a heap: a row of n cells takes up to n rounds of n cells.
 LONG_PIECE = 512
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 150_000
+#: Chunks of at most SHORT characters are remembered with their ids, in some REMEMBERED bytes of a worker at most.
+SHORT, REMEMBERED = 64, 64 << 20
 #: White space as Unicode defines it, and the cut of a text into chunks: an optional blank with what follows up to the
 #: next white space, or white space. No piece reaches over a chunk's end, so equal chunks have equal ids.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -101,6 +101,7 @@ class Bpe:
         self.whole = {token: np.int32(rank).tobytes() for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
         self.said: dict[str, str] = {}
+        self.held = 0  # bytes of the two, about
 
     def _matrix(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (int32, as bytes) of pieces of similar length."""
@@ -181,9 +182,10 @@ class Bpe:
     def encode_run(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """Of each text of a run of bounded size: its ids, and the ids in decimal joined by blanks."""
         split = [CHUNK(t) for t in texts]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
             self.said.clear()
+            self.held = 0
         known, said, names = self.known, self.said, self.names
         fresh = [c for c in set().union(*split) if c not in known]
         pieces: list[str] = []
@@ -196,11 +198,18 @@ class Bpe:
                 pieces += (cut := self.split(c))
                 sizes.append(len(cut))
         ids = iter(self.encode_pieces([p.encode("utf-8", "surrogatepass") for p in pieces]))
+        long = []
         for c, n in zip(fresh, sizes, strict=True):
             known[c] = held = b"".join(islice(ids, n)) if n > 1 else next(ids)
-            said[c] = " ".join(map(names.__getitem__, memoryview(held).cast("i")))
+            said[c] = words = " ".join(map(names.__getitem__, memoryview(held).cast("i")))
+            if len(c) > SHORT:
+                long.append(c)
+            else:
+                self.held += 4 * len(c) + len(held) + len(words) + 400
         for chunks in split:
             yield np.frombuffer(b"".join(map(known.__getitem__, chunks)), np.int32), " ".join(map(said.__getitem__, chunks))
+        for c in long:
+            del known[c], said[c]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
