@@ -1,13 +1,24 @@
 """Long texts, hot phrases and crowded buckets: what must stay linear, bounded and right."""
 
+import hashlib
+import json
 import random
 import resource
+import struct
 import time
+import zipfile
+import zlib
 
 import numpy as np
+import public_tokenizers as P
+import pyarrow.fs as pafs
+import pytest
+from pyspark.sql import functions as F
 from test_text_operators import brute_components, brute_removed, sha
 
-from tideline.llm import common, simhash, substrings
+from tideline.llm import bpe, common, media, order, quality, simhash, substrings
+
+RANKS = P.path("byte_bpe_50k.tiktoken")
 
 
 def peak_mb():
@@ -86,3 +97,90 @@ def test_crowded_buckets_are_split(spark):
             a, b = (find(fps.index(int(np.int64(x).view(np.uint64)))) for x in (r["u"], r["v"]))
             parent[max(a, b)] = min(a, b)
         assert [find(i) for i in range(len(fps))] == roots
+
+
+def test_sample_of_one_id_on_many_rows(spark, monkeypatch):
+    """An id on 3,000 rows is one row of the sample."""
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).unionByName(spark.createDataFrame([(5, "other"), (6, "more")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda p, u, prior: seen.append((len(p), len(u), prior)))
+    quality.train(docs, labels, positives=1, unlabelled=2)
+    assert len(seen) == 1 and seen[0][0] <= 1 and seen[0][1] <= 2
+
+
+def test_remembered_chunks_are_bounded(monkeypatch):
+    codec = bpe.Bpe(bpe.load_ranks(RANKS), P.PATTERN)
+    long = ["".join(random.Random(k).choices("abcxyz", k=20_000)) for k in range(4)]
+    found = [ids.tolist() for ids, _ in codec.encode_run(long)]
+    assert not codec.known and [codec.decode(np.array(x)).decode() for x in found] == long
+    monkeypatch.setattr(bpe, "REMEMBERED", 100_000)
+    for k in range(30):
+        list(codec.encode_run([f"word{j}" for j in range(k * 100, k * 100 + 100)]))
+    assert codec.held < 200_000 and len(codec.known) < 500
+
+
+def test_order_does_not_depend_on_splits(spark, docs, tmp_path):
+    found = []
+    for n in (1, 5):
+        path = str(tmp_path / str(n))
+        order.materialise(docs.repartition(n), path, RANKS, P.PATTERN, length=16, shard_bytes=1000).count()
+        found.append({f.name: sha(f.read_bytes()) for f in sorted((tmp_path / str(n)).glob("shard-*.bin"))})
+        assert not list((tmp_path / str(n)).glob("*.tmp"))
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
+def test_media_by_hand(spark, docs, rows, tmp_path):
+    """What stands in the archives, read with other code, and the features of it."""
+    path = tmp_path / "archives"
+    made = media.write_archives(docs, str(path), archive_bytes=3000)
+    files = sorted(path.glob("*.zip"))
+    assert made == len(files) and sorted(json.loads(x)[0] for x in (path / media.MANIFEST).read_text().splitlines()) == [f.name for f in files]
+    want = []
+    for file in files:
+        with zipfile.ZipFile(file) as z:
+            for name in z.namelist():
+                data = z.read(name)
+                width, height, depth, colour = struct.unpack(">IIBB", data[16:26])
+                assert (width, depth, colour) == (64, 8, 0) and data[:8] == b"\x89PNG\r\n\x1a\n"
+                at = data.index(b"IDAT")
+                lines = zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]])
+                want.append((len(data), hashlib.sha256(data).hexdigest(), hashlib.sha256(b"".join(lines[k * 65 + 1 : k * 65 + 65] for k in range(height))).hexdigest()))
+    got = media.media_features(media.read_archives(spark, str(path), rangeBytes=700)).collect()
+    assert sorted(want) == sorted((r["media_bytes"], r["media_sha256"], r["payload_sha256"]) for r in got)
+    texts = {hashlib.sha256(t + bytes(max(64, -(-len(t) // 64) * 64) - len(t))).hexdigest(): t for t in ((r[1] or "").encode() for r in rows)}
+    for r in got:
+        data = texts[r["payload_sha256"]]
+        full = data + bytes(r["payload_bytes"] - len(data))
+        mean = sum(full) / len(full)
+        std = (sum((x - mean) ** 2 for x in full) / len(full)) ** 0.5
+        bins = ",".join(str(sum(x // 32 == k for x in full)) for k in range(8))
+        said = dict(x.split("=") for x in r["feature"].split(";"))
+        assert r["n_bytes"] == len(data) and r["tail_crc32"] == zlib.crc32(full[-64:])
+        assert abs(float(said["mean"]) - mean) < 1e-5 and abs(float(said["std"]) - std) < 1e-3 and said["bins"] == bins and float(said["zero"]) == pytest.approx(full.count(0) / len(full), abs=1e-6)
+
+
+def test_a_member_is_read_again_from_its_offset(tmp_path, monkeypatch):
+    """A file that fails twice: the reader opens it anew and goes on at the member, which then is read."""
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in range(3):
+            z.writestr(f"{k:08d}_{k}.png", media.to_png(b"x" * k))
+    failures, opened = [2], []
+    read = media.read_member
+
+    def flaky(file, offset, size, crc):
+        opened.append((id(file), offset))
+        if offset > 0 and failures[0]:
+            failures[0] -= 1
+            raise OSError("connection lost")
+        return read(file, offset, size, crc)
+
+    monkeypatch.setattr(media, "read_member", flaky)
+    reader = media.ArchiveReader({"path": str(tmp_path)})
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["error"] for r in rows] == [None] * 3 and len({r["offset"] for r in rows}) == 3
+    assert [o for _, o in opened] == [rows[0]["offset"], *[rows[1]["offset"]] * 3, rows[2]["offset"]]
+    failures[0] = 5  # more than the reader's tries
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [r["error"] is None for r in rows] == [True, False, True] and rows[1]["media"] is None
+    assert pafs.LocalFileSystem().get_file_info(str(tmp_path / "a.zip")).is_file
