@@ -44,7 +44,12 @@ def _panes(rv: RangeVector, grid: Grid, inner: dict[str, Column], outer: dict[st
         rows = rows.withColumn("reset", (F.col("drop") != 0).cast("int") + (~F.col("stale") & (value < 0) & (prev == 0)).cast("int"))
         rows = rows.withColumn("point", F.when(~F.col("stale"), F.struct("ts", "value", "prev", "drop", "change", "reset")))
     panes = rows.groupBy("sid", "low", "high").agg(*(c.alias(k) for k, c in inner.items()))
-    each = panes.select("sid", steps_between(grid, F.col("low"), F.col("high")).alias("t"), *inner)
+    return _over_steps(panes, grid, inner, outer)
+
+
+def _over_steps(panes: DataFrame, grid: Grid, inner, outer: dict[str, Column]) -> DataFrame:
+    """`outer` over the panes of each window; a pane's first step (low) can be used in it."""
+    each = panes.select("sid", "low", steps_between(grid, F.col("low"), F.col("high")).alias("t"), *inner)
     return each.groupBy("sid", "t").agg(*(c.alias(k) for k, c in outer.items()))
 
 
@@ -104,14 +109,40 @@ def _last_two(rv: RangeVector, grid: Grid, rate: bool) -> Vector:
     return _result(rv, rows, gain)
 
 
-def _samples_of(rv: RangeVector, grid: Grid) -> DataFrame:
-    """A row for each step and sample of its window."""
-    spans = _spans(rv, grid)
-    return spans.select("sid", steps_between(grid, F.col("low"), F.col("high")).alias("t"), "ts", _value().alias("value"))
-
+def _moments(rv: RangeVector, grid: Grid) -> DataFrame:
+    """Of each window: n, base, and over (x, y) the sums sx, sy, sxx, sxy, syy of its points.
 
-def _spread(rv: RangeVector, grid: Grid, f: Callable) -> Vector:
-    return _result(rv, _samples_of(rv, grid).groupBy("sid", "t").agg(f("value").alias("a")), F.col("a"))
+    y is a value less the series' base (the mean of one of its panes), so that large values with small differences keep
+    their digits; x is the time since the step, in seconds. Panes keep their own sums, which are moved to the window's step.
+    """
+    v = _value()
+    x = F.when(v.isNotNull(), (F.col("ts") + rv.offset - F.col("low")) / 1000.0)
+    inner = {"n": F.count(v), "m": F.avg(v), "m2": F.var_pop(v) * F.count(v), "sx": F.sum(x), "sxx": F.sum(x * x), "sxv": F.covar_pop(x, v) * F.count(v)}
+    panes = _spans(rv, grid).groupBy("sid", "low", "high").agg(*(c.alias(k) for k, c in inner.items())).filter("n > 0")
+    finite = ~F.isnan("m") & (F.abs("m") < ieee.INF)
+    base = panes.groupBy("sid").agg(F.coalesce(F.min_by("m", F.when(finite, F.col("low"))), F.lit(0.0)).alias("base"))
+    n, m = F.col("n"), F.col("m") - F.col("base")  # sums of y, yy and xy from a pane's central moments
+    panes = panes.join(base, "sid").select("sid", "low", "high", "n", "base", "sx", "sxx", (n * m).alias("sy"), (F.col("m2") + n * m * m).alias("syy"), (F.col("sxv") + F.col("sx") * m).alias("sxy"))
+    d = (F.col("low") - F.col("t")) / 1000.0
+    outer = {
+        "n": F.sum("n"), "base": F.max("base"), "sx": F.sum(F.col("sx") + F.col("n") * d), "sy": F.sum("sy"), "syy": F.sum("syy"),
+        "sxx": F.sum(F.col("sxx") + 2 * d * F.col("sx") + F.col("n") * d * d), "sxy": F.sum(F.col("sxy") + d * F.col("sy")),
+    }
+    return _over_steps(panes, grid, ("n", "base", "sx", "sxx", "sy", "syy", "sxy"), outer)
+
+
+def _spread(rv: RangeVector, grid: Grid, root: bool) -> Vector:
+    """Population variance or its root."""
+    var = (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")) / F.col("n")
+    var = F.when(F.isnan(var), var).otherwise(F.greatest(var, F.lit(0.0)))
+    return _result(rv, _moments(rv, grid), F.sqrt(var) if root else var)
+
+
+def _values_of(rv: RangeVector, grid: Grid) -> DataFrame:
+    """a: the values of each window in the order of time. A pane's values are collected once; windows put panes together."""
+    inner = {"p": F.collect_list(F.when(~F.col("stale"), F.struct("ts", "value")))}
+    rows = _panes(rv, grid, inner, {"p": F.flatten(F.collect_list("p"))})
+    return rows.select("sid", "t", F.transform(F.array_sort("p"), lambda p: p["value"]).alias("a"))
 
 
 def interpolated(sorted_values: Column, q: Column) -> Column:
@@ -133,20 +164,26 @@ def with_scalar(rows: DataFrame, s: Scalar, name: str) -> DataFrame:
 
 
 def quantile_over_time(q: Scalar, rv: RangeVector, grid: Grid) -> Vector:
-    rows = _samples_of(rv, grid).groupBy("sid", "t").agg(F.array_sort(F.collect_list("value")).alias("a"))
+    rows = _values_of(rv, grid).withColumn("a", F.array_sort("a"))
     return _result(rv, with_scalar(rows, q, "q"), interpolated(F.col("a"), F.col("q")))
 
 
+def _line(rv: RangeVector, grid: Grid) -> DataFrame:
+    """slope (per second) and level (at the step) of each window's least-squares line; none for fewer than two points."""
+    rows = _moments(rv, grid).filter("n >= 2")
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    across = n * F.col("sxx") - sx * sx
+    rows = rows.withColumn("slope", (n * F.col("sxy") - sx * sy) / F.when(across > 0, across))
+    return rows.withColumn("level", (sy - F.col("slope") * sx) / n + F.col("base"))
+
+
 def deriv(rv: RangeVector, grid: Grid) -> Vector:
-    """Slope of the least-squares line, per second; none for fewer than two points in time."""
-    x = (F.col("ts") - (F.col("t") - rv.offset)) / 1000.0
-    return _result(rv, _samples_of(rv, grid).filter("value is not null").groupBy("sid", "t").agg(F.regr_slope(F.col("value"), x).alias("a")), F.col("a"))
+    return _result(rv, _line(rv, grid), F.col("slope"))
 
 
 def predict_linear(rv: RangeVector, ahead: Scalar, grid: Grid) -> Vector:
-    x = (F.col("ts") - F.col("t")) / 1000.0
-    rows = _samples_of(rv, grid).filter("value is not null").groupBy("sid", "t").agg(F.regr_slope(F.col("value"), x).alias("slope"), F.regr_intercept(F.col("value"), x).alias("intercept"))
-    return _result(rv, with_scalar(rows, ahead, "ahead"), F.col("intercept") + F.col("slope") * F.col("ahead"))
+    # x counts from the step less the offset, the prediction from the step
+    return _result(rv, with_scalar(_line(rv, grid), ahead, "ahead"), F.col("level") + F.col("slope") * (F.col("ahead") + rv.offset / 1000.0))
 
 
 def holt_winters(rv: RangeVector, smooth: Scalar, trend: Scalar, grid: Grid) -> Vector:
@@ -154,7 +191,7 @@ def holt_winters(rv: RangeVector, smooth: Scalar, trend: Scalar, grid: Grid) ->
     for s in (smooth, trend):
         if s.constant is not None and not 0 < s.constant < 1:
             raise QueryError("holt_winters needs factors between 0 and 1")
-    rows = _samples_of(rv, grid).filter("value is not null").groupBy("sid", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "value"))), lambda p: p["value"]).alias("a")).filter(F.size("a") >= 2)
+    rows = _values_of(rv, grid).filter(F.size("a") >= 2)
     rows = with_scalar(with_scalar(rows, smooth, "sf"), trend, "tf")
     sf, tf, a = F.col("sf"), F.col("tf"), F.col("a")
     step = lambda acc, s1, b: F.struct(acc["now"].alias("old"), s1.alias("now"), b.alias("slope"))
@@ -176,8 +213,8 @@ FUNCTIONS: dict[str, Callable[[RangeVector, Grid], Vector]] = {
     "delta": lambda rv, grid: _extrapolated(rv, grid, False, False),
     "irate": lambda rv, grid: _last_two(rv, grid, True),
     "idelta": lambda rv, grid: _last_two(rv, grid, False),
-    "stddev_over_time": lambda rv, grid: _spread(rv, grid, F.stddev_pop),
-    "stdvar_over_time": lambda rv, grid: _spread(rv, grid, F.var_pop),
+    "stddev_over_time": lambda rv, grid: _spread(rv, grid, True),
+    "stdvar_over_time": lambda rv, grid: _spread(rv, grid, False),
     "changes": lambda rv, grid: _result(rv, _ends(rv, grid), F.col("changes") - F.coalesce(F.col("first")["change"], F.lit(0))),
     "resets": lambda rv, grid: _result(rv, _ends(rv, grid), F.col("resets") - F.coalesce(F.col("first")["reset"], F.lit(0))),
     "deriv": deriv,
