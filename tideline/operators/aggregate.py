@@ -31,14 +31,19 @@ def _grouped(v: Vector, by: tuple[str, ...] | None, without: tuple[str, ...] | N
     return v.facts.join(named.select("sid", "gid"), "sid"), named.select("gid", "labels").distinct()
 
 
-def _vector(rows: DataFrame, groups: DataFrame) -> Vector:
+def _nameless(by: tuple[str, ...] | None) -> bool:
+    """Whether the groups have no name, so that no two of them differ in it."""
+    return L.NAME not in (by or ())
+
+
+def _vector(rows: DataFrame, groups: DataFrame, one_name: bool) -> Vector:
     facts = rows.select(F.col("gid").alias("sid"), "t", F.col("t").alias("sample_ts"), F.col("value").cast("double").alias("value"))
-    return Vector(facts, groups.select(F.col("gid").alias("sid"), "labels"))
+    return Vector(facts, groups.select(F.col("gid").alias("sid"), "labels"), one_name)
 
 
 def simple(op: str, v: Vector, by: tuple[str, ...] | None, without: tuple[str, ...] | None) -> Vector:
     facts, groups = _grouped(v, by, without)
-    return _vector(facts.groupBy("gid", "t").agg(BUILT_IN[op](F.col("value")).alias("value")), groups)
+    return _vector(facts.groupBy("gid", "t").agg(BUILT_IN[op](F.col("value")).alias("value")), groups, _nameless(by))
 
 
 def topk(v: Vector, k: Scalar, by: tuple[str, ...] | None, without: tuple[str, ...] | None, bottom: bool = False) -> Vector:
@@ -67,7 +72,7 @@ def count_values(label: str, v: Vector, by: tuple[str, ...] | None, without: tup
     rows = facts.groupBy("gid", "t", value_text(F.col("value")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
     named = rows.join(groups, "gid").withColumn("labels", L.put(F.col("labels"), label, F.col("text"))).withColumn("sid", L.fingerprint(F.col("labels")))
     merged = named.groupBy("sid", "labels", "t").agg(F.sum("n").cast("double").alias("value"))
-    return Vector(merged.select("sid", "t", F.col("t").alias("sample_ts"), "value"), merged.select("sid", "labels").distinct())
+    return Vector(merged.select("sid", "t", F.col("t").alias("sample_ts"), "value"), merged.select("sid", "labels").distinct(), _nameless(by) and label != L.NAME)
 
 
 def quantile(q: Scalar, v: Vector, by: tuple[str, ...] | None, without: tuple[str, ...] | None) -> Vector:
@@ -80,10 +85,10 @@ def quantile(q: Scalar, v: Vector, by: tuple[str, ...] | None, without: tuple[st
         c = q.constant
         if c != c or not 0 <= c <= 1:
             value = F.lit(ieee.NAN if c != c else -ieee.INF if c < 0 else ieee.INF)
-            return _vector(facts.groupBy("gid", "t").agg(F.count(F.lit(1)).alias("n")).withColumn("value", value), groups)
-        return _vector(facts.groupBy("gid", "t").agg(F.percentile("value", c).alias("value")), groups)
+            return _vector(facts.groupBy("gid", "t").agg(F.count(F.lit(1)).alias("n")).withColumn("value", value), groups, _nameless(by))
+        return _vector(facts.groupBy("gid", "t").agg(F.percentile("value", c).alias("value")), groups, _nameless(by))
     rows = with_scalar(facts.groupBy("gid", "t").agg(F.array_sort(F.collect_list("value")).alias("a")), q, "q")
-    return _vector(rows.withColumn("value", interpolated(F.col("a"), F.col("q"))), groups)
+    return _vector(rows.withColumn("value", interpolated(F.col("a"), F.col("q"))), groups, _nameless(by))
 
 
 def aggregate(op: str, v: Vector, param: Scalar | str | None, by: tuple[str, ...] | None, without: tuple[str, ...] | None) -> Vector:

@@ -83,6 +83,11 @@ def _single(rows: DataFrame, what: str) -> DataFrame:
     return one.filter(only).select("sig", "t", "x.*")
 
 
+def _unique(v: Vector, m: Matching) -> bool:
+    """Whether no two series can share a signature: it is all labels but the name, in which alone they don't differ."""
+    return m.on is None and not m.ignoring and v.one_name
+
+
 def vectors(op: str, left: Vector, right: Vector, m: Matching, flag: bool) -> Vector:
     """One-to-one, or with group_left / group_right many-to-one matching; series and steps without a partner have no result."""
     many, one = (right, left) if m.group == "right" else (left, right)
@@ -93,9 +98,11 @@ def vectors(op: str, left: Vector, right: Vector, m: Matching, flag: bool) -> Ve
     elif drop_name or not m.group:
         labels = L.drop(labels, [*([] if m.group else m.ignoring), *([L.NAME] if drop_name else [])])
     (many_facts, many_series), (one_facts, one_series) = _signed(many, m, None if m.group else labels), _signed(one, m)
-    one_facts = _single(one_facts, "found duplicate series for the match group: many-to-many matching is not allowed").select("sig", "t", F.col("sid").alias("osid"), F.col("value").alias("other"))
-    if not m.group:
-        many_facts = _single(many_facts, "multiple matches for labels: many-to-one matching must be explicit (group_left/group_right)")
+    if not _unique(one, m):
+        one_facts = _single(one_facts, f"{op}: two series on the 'one' side have the same matching labels at one step")
+    one_facts = one_facts.select("sig", "t", F.col("sid").alias("osid"), F.col("value").alias("other"))
+    if not m.group and not _unique(many, m):
+        many_facts = _single(many_facts, f"{op}: two series have the same matching labels at one step; if that is meant, say group_left or group_right")
     both = many_facts.join(one_facts, ["sig", "t"])
     a, b = (F.col("other"), F.col("value")) if m.group == "right" else (F.col("value"), F.col("other"))
     if op not in COMPARISONS:
@@ -113,7 +120,7 @@ def vectors(op: str, left: Vector, right: Vector, m: Matching, flag: bool) -> Ve
             return out.without_name()
         # at most one series of a signature a step: equal label sets never meet, so ids are merged without a check
         facts = both.select(F.col("nid").alias("sid"), "t", "sample_ts", F.col("result").alias("value"))
-        return Vector(facts, many_series.select(F.col("nid").alias("sid"), labels.alias("labels")).distinct())
+        return Vector(facts, many_series.select(F.col("nid").alias("sid"), labels.alias("labels")).distinct(), many.one_name or drop_name or m.on is not None and L.NAME not in m.on)
     copied = labels
     for key in m.include:
         copied = L.put(copied, key, L.get(F.col("olabels"), key))
@@ -122,8 +129,8 @@ def vectors(op: str, left: Vector, right: Vector, m: Matching, flag: bool) -> Ve
     named = pairs.select(F.col("pid").alias("sid"), "labels").withColumn("nid", L.fingerprint(F.col("labels")))
     rows = facts.join(named.select("sid", "nid"), "sid")
     checked = rows.groupBy("nid", "t").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("value"), F.max("sample_ts").alias("sample_ts"))
-    only = F.when(F.col("n") > 1, F.raise_error(F.lit("multiple matches for labels: grouping labels must ensure unique matches")).cast("boolean")).otherwise(F.lit(True))
-    return Vector(checked.filter(only).select(F.col("nid").alias("sid"), "t", "sample_ts", "value"), named.select(F.col("nid").alias("sid"), "labels").distinct())
+    only = F.when(F.col("n") > 1, F.raise_error(F.lit(f"{op}: the labels taken over by the group modifier leave two results with the same labels")).cast("boolean")).otherwise(F.lit(True))
+    return Vector(checked.filter(only).select(F.col("nid").alias("sid"), "t", "sample_ts", "value"), named.select(F.col("nid").alias("sid"), "labels").distinct(), drop_name and L.NAME not in m.include)
 
 
 def sets(op: str, left: Vector, right: Vector, m: Matching) -> Vector:

@@ -93,7 +93,7 @@ def relabel(v: Vector, renamed: DataFrame) -> Vector:
     named = renamed.withColumn("nid", L.fingerprint(F.col("labels")))
     live = named.join(v.facts.select("sid").distinct(), "sid", "left_semi")
     twice = F.count(F.lit(1)).over(Window.partitionBy("nid")) > 1
-    only = F.when(F.col("twice"), F.raise_error(F.lit("duplicated label set in the result")).cast("boolean")).otherwise(F.lit(True))
+    only = F.when(F.col("twice"), F.raise_error(F.lit("two series of the result have the same labels")).cast("boolean")).otherwise(F.lit(True))
     checked = live.withColumn("twice", twice).filter(only)  # as a filter, no optimiser prunes it
     facts = v.facts.join(checked.select("sid", "nid"), "sid").select(F.col("nid").alias("sid"), "t", "sample_ts", "value")
     return replace(v, facts=facts, series=named.select(F.col("nid").alias("sid"), "labels").distinct(), one_name=True, equal_labels=(), order="")

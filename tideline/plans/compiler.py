@@ -5,6 +5,7 @@ Parts of a query that occur twice are built once, so Spark can reuse their excha
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tideline.functions import ieee
 from tideline.functions import labels as L
 from tideline.operators import aggregate, binary, instant, ranges, select
+from tideline.operators.select import java_regex
 from tideline.operators.vector import Grid, RangeVector, Scalar, Vector
 from tideline.plans.parser import COMPARISONS, SETS, parse
 from tideline.plans.tree import Aggregate, Binary, Call, Node, Number, QueryError, Selector, Subquery, Text, Unary
@@ -94,7 +96,10 @@ def kind(node: Node) -> str:
 
 
 def _needs_value(m) -> bool:
-    return m.op in ("=", "=~") and m.value != "" and not (m.op == "=~" and m.value == ".*") or m.op == "!=" and m.value == "" or m.op == "!~"
+    """Whether a series without the label fails the matcher."""
+    if m.op in ("=", "!="):
+        return (m.op == "=") == (m.value != "")
+    return m.op == "=~" and m.value != "" and not re.fullmatch(java_regex(m.value), "")
 
 
 def _one_of(node: Node, kinds: str, what: str) -> str:
