@@ -11,7 +11,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from tideline.catalog import COARSE, HOURLY, WEEKLY
+from tideline.catalog import COARSE, DAILY, HOURLY
 from tideline.engine import Engine
 from tideline.sources.store import Store
 from tideline.sources.tables import stores
@@ -20,7 +20,7 @@ from tideline.sources.tables import stores
 SHAPES = {
     "long_add": ("event_value", 'avg_over_time(event_value{event_type="view"}[1d]) + on() avg_over_time(event_value{event_type="error"}[1d])', COARSE),
     "long_sum4": ("event_value", " + on() ".join(f'sum_over_time(event_value{{event_type="{t}"}}[1d])' for t in ("view", "error", "click", "signup")), COARSE),
-    "long_group_left": ("order_price", "order_price / on(priority) group_left sum by (priority) (order_price)", WEEKLY),
+    "long_group_left": ("order_price", "order_price / on(priority) group_left sum by (priority) (order_price)", DAILY),
     "long_rate_add": ("event_total", 'rate(event_total{event_type="view"}[1d]) + on() rate(event_total{event_type="error"}[1d])', COARSE),
     "long_avg_day": ("event_value", "avg_over_time(event_value[1d])", COARSE),
     "long_avg_hour": ("event_value", "avg_over_time(event_value[1h])", COARSE),

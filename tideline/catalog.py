@@ -20,10 +20,10 @@ from tideline.sources.tables import EPOCH, millis, stores
 from tideline.sources.wide import from_wide
 
 DAY, HOUR = 86_400_000, 3_600_000
-#: 2024-01-02 to 2024-01-29, by hours and by quarter days; all days of the orders by weeks.
-HOURLY = (1_704_153_600_000, 1_706_486_400_000, HOUR)
-COARSE = (1_704_153_600_000, 1_706_486_400_000, 6 * HOUR)
-WEEKLY = (788_918_400_000, 1_004_832_000_000, 7 * DAY)
+#: All of the events' month (2024-01-01 to 2024-01-31) by hours and by quarter days; all days of the orders (1995 to 2001).
+HOURLY = (1_704_067_200_000, 1_706_659_200_000, HOUR)
+COARSE = (1_704_067_200_000, 1_706_659_200_000, 6 * HOUR)
+DAILY = (788_918_400_000, 1_009_756_800_000, DAY)
 ONCE = (EPOCH, EPOCH, 1)
 
 #: Added before rounding, so that sums of hundredths don't fall on the edge between two results.
@@ -149,20 +149,25 @@ _A, _B = "avg_over_time(event_value[3h])", "avg_over_time(event_value[3h] offset
 _AB = f"WITH {_grid(HOURLY)}, {EV}, {_window(3 * HOUR)}, {_window(3 * HOUR, 3 * HOUR, 'ev', 'w2')}, a AS (SELECT event_type, t, avg(value) AS a FROM w GROUP BY 1, 2), b AS (SELECT event_type, t, avg(value) AS b FROM w2 GROUP BY 1, 2), ab AS (SELECT * FROM a JOIN b USING (event_type, t)) SELECT event_type, t, round({{}}, 4) + 0.0 AS value FROM ab WHERE {{}}"
 for key, op, f in (("add", "+", "a + b"), ("sub", "-", "a - b"), ("mul", "*", "a * b"), ("div", "/", "a / b"), ("mod", "%", "fmod(a, b)"), ("pow", "^ 0.5 *", "a ** 0.5::DOUBLE * b")):
     add(f"bin_{key}", "event_value", f"{_A} {op} {_B}", "event_type", HOURLY, _AB.format(f, "true"))
-for key, op in (("eq", "=="), ("ne", "!="), ("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<=")):
-    add(f"bin_{key}", "event_value", f"{_A} {op} {_B}", "event_type", HOURLY, _AB.format("a", f"a {op.replace('==', '=').replace('!=', '<>')} b"))
-    add(f"bin_{key}_bool", "event_value", f"{_A} {op} bool {_B}", "event_type", HOURLY, _AB.format(f"(a {op.replace('==', '=').replace('!=', '<>')} b)::INT::DOUBLE", "true"))
+for key, op in (("gt", ">"), ("lt", "<"), ("ge", ">="), ("le", "<=")):
+    add(f"bin_{key}", "event_value", f"{_A} {op} {_B}", "event_type", HOURLY, _AB.format("a", f"a {op} b"))
+    add(f"bin_{key}_bool", "event_value", f"{_A} {op} bool {_B}", "event_type", HOURLY, _AB.format(f"(a {op} b)::INT::DOUBLE", "true"))
+for key, op, sql in (("eq", "==", "="), ("ne", "!=", "<>")):  # of averages cut to whole tens, of which some are equal
+    _ten = f"floor(a / 10) {sql} floor(b / 10)"
+    add(f"bin_{key}", "event_value", f"floor({_A} / 10) {op} floor({_B} / 10)", "event_type", HOURLY, _AB.format("floor(a / 10)", _ten))
+    add(f"bin_{key}_bool", "event_value", f"floor({_A} / 10) {op} bool floor({_B} / 10)", "event_type", HOURLY, _AB.format(f"({_ten})::INT::DOUBLE", "true"))
+add("bin_aggregate_scalar", "event_total", "sum by (event_type) (rate(event_total[3h])) * 100", "event_type", HOURLY, f"SELECT event_type, t, round(value * 100, 4) + 0.0 AS value FROM ({_rate(True, 3 * HOUR, ' / 10800.0::DOUBLE').replace('round(gain', '(gain').replace(', 4) + 0.0 AS value', ') AS value')})")
 add("bin_scalar_left", "event_value", f"100 - {_A}", "event_type", HOURLY, _AB.format("100 - a", "true").replace("a JOIN b USING (event_type, t)", "a"))
 add("bin_scalar_filter", "event_value", f"40 < {_A}", "event_type", HOURLY, _AB.format("a", "a > 40").replace("a JOIN b USING (event_type, t)", "a"))
 add("bin_scalar_fold", "event_value", "2 * 3 ^ 2 % 5 - 1 / 4", "", HOURLY, f"WITH {_grid(HOURLY)} SELECT t, 2.75::DOUBLE AS value FROM grid")
 add("bin_time", "event_value", f"{_A} + time() / 1000000", "event_type", HOURLY, _AB.format("a + t / 1000.0::DOUBLE / 1000000", "true").replace("a JOIN b USING (event_type, t)", "a"))
 add("bin_unary_minus", "event_value", f"-{_A}", "event_type", HOURLY, _AB.format("-a", "true").replace("a JOIN b USING (event_type, t)", "a"))
 add("bin_unary_plus", "event_value", "+event_value", "event_type", HOURLY, f"WITH {_grid(HOURLY)}, {EV}, {_instant()} {OUT} s")
-_ORD = f"{_grid(WEEKLY)}, o AS (SELECT o_orderpriority AS priority, o_orderstatus AS status, epoch_ms(date_trunc('day', o_orderdate)) AS t, sum(o_totalprice) AS value FROM orders JOIN grid ON epoch_ms(date_trunc('day', o_orderdate)) = t GROUP BY 1, 2, 3)"
-add("bin_ignoring", "order_price", 'order_price{status="F"} / ignoring(status) order_price{status="O"}', "priority", WEEKLY, f"WITH {_ORD} SELECT a.priority, a.t, round(a.value / b.value, 4) + 0.0 AS value FROM o a JOIN o b ON a.priority = b.priority AND a.t = b.t AND a.status = 'F' AND b.status = 'O'")
-add("bin_on", "order_price", 'order_price{status="F"} > on(priority) order_price{status="O"}', "priority", WEEKLY, f"WITH {_ORD} SELECT a.priority, a.t, round(a.value, 4) + 0.0 AS value FROM o a JOIN o b ON a.priority = b.priority AND a.t = b.t AND a.status = 'F' AND b.status = 'O' AND a.value > b.value")
-add("bin_group_left", "order_price", "order_price / on(priority) group_left sum by (priority) (order_price)", "priority status", WEEKLY, f"WITH {_ORD}, p AS (SELECT priority, t, sum(value) AS s FROM o GROUP BY 1, 2) SELECT priority, status, t, round(value / s, 4) + 0.0 AS value FROM o JOIN p USING (priority, t)")
-add("bin_group_right", "order_price", "sum by (priority) (order_price) - on(priority) group_right order_price", "priority status", WEEKLY, f"WITH {_ORD}, p AS (SELECT priority, t, sum(value) AS s FROM o GROUP BY 1, 2) SELECT priority, status, t, round(s - value, 4) + 0.0 AS value FROM o JOIN p USING (priority, t)")
+_ORD = f"{_grid(DAILY)}, o AS (SELECT o_orderpriority AS priority, o_orderstatus AS status, epoch_ms(date_trunc('day', o_orderdate)) AS t, sum(o_totalprice) AS value FROM orders JOIN grid ON epoch_ms(date_trunc('day', o_orderdate)) = t GROUP BY 1, 2, 3)"
+add("bin_ignoring", "order_price", 'order_price{status="F"} / ignoring(status) order_price{status="O"}', "priority", DAILY, f"WITH {_ORD} SELECT a.priority, a.t, round(a.value / b.value, 4) + 0.0 AS value FROM o a JOIN o b ON a.priority = b.priority AND a.t = b.t AND a.status = 'F' AND b.status = 'O'")
+add("bin_on", "order_price", 'order_price{status="F"} > on(priority) order_price{status="O"}', "priority", DAILY, f"WITH {_ORD} SELECT a.priority, a.t, round(a.value, 4) + 0.0 AS value FROM o a JOIN o b ON a.priority = b.priority AND a.t = b.t AND a.status = 'F' AND b.status = 'O' AND a.value > b.value")
+add("bin_group_left", "order_price", "order_price / on(priority) group_left sum by (priority) (order_price)", "priority status", DAILY, f"WITH {_ORD}, p AS (SELECT priority, t, sum(value) AS s FROM o GROUP BY 1, 2) SELECT priority, status, t, round(value / s, 4) + 0.0 AS value FROM o JOIN p USING (priority, t)")
+add("bin_group_right", "order_price", "sum by (priority) (order_price) - on(priority) group_right order_price", "priority status", DAILY, f"WITH {_ORD}, p AS (SELECT priority, t, sum(value) AS s FROM o GROUP BY 1, 2) SELECT priority, status, t, round(s - value, 4) + 0.0 AS value FROM o JOIN p USING (priority, t)")
 _SUP = f"s AS (SELECT n_name AS nation, s_name AS supplier, r_name AS region, {EPOCH}::BIGINT AS t, s_acctbal AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 add("bin_group_left_labels", "supplier_bal nation_info", "supplier_bal * on(nation) group_left(region) nation_info", "nation supplier region", ONCE, f"WITH {_SUP} SELECT nation, supplier, region, t, round(value, 4) + 0.0 AS value FROM s")
 add("bin_join_then_aggregate", "supplier_bal nation_info", "sum by (region) (supplier_bal * on(nation) group_left(region) nation_info)", "region", ONCE, f"WITH {_SUP} SELECT region, t, round(sum(value), 4) + 0.0 AS value FROM s GROUP BY 1, 2")
@@ -172,7 +177,7 @@ _ST = f"WITH {_grid(HOURLY)}, {EV}, {_instant()}, {_instant(0, 'true', 's2')} "
 add("set_and", "event_value", 'event_value > 30 and event_value < 60', "event_type", HOURLY, _ST + OUT + "s WHERE value > 30 AND value < 60")
 add("set_unless", "event_value", "event_value unless event_value > 50", "event_type", HOURLY, _ST + OUT + "s WHERE NOT value > 50")
 add("set_or", "event_value", "event_value > 80 or event_value < 10", "event_type", HOURLY, _ST + OUT + "s WHERE value > 80 OR value < 10")
-add("set_and_on", "order_price", 'order_price and on(status) order_price{priority="1-URGENT"} > 100000', "priority status", WEEKLY, f"WITH {_ORD} SELECT priority, status, t, round(value, 4) + 0.0 AS value FROM o WHERE EXISTS (FROM o b WHERE b.t = o.t AND b.status = o.status AND b.priority = '1-URGENT' AND b.value > 100000)")
+add("set_and_on", "order_price", 'order_price and on(status) order_price{priority="1-URGENT"} > 100000', "priority status", DAILY, f"WITH {_ORD} SELECT priority, status, t, round(value, 4) + 0.0 AS value FROM o WHERE EXISTS (FROM o b WHERE b.t = o.t AND b.status = o.status AND b.priority = '1-URGENT' AND b.value > 100000)")
 
 # Functions of instant vectors
 _I = f"WITH {_grid(HOURLY)}, {EV}, {_instant()} SELECT event_type, t, round({{}}, 4) + 0.0 AS value FROM s"
@@ -193,12 +198,12 @@ add("fn_scalar", "event_value", 'scalar(event_value{event_type="view"})', "", HO
 add("fn_absent", "event_value", 'absent(event_value{event_type="view"})', "event_type", HOURLY, f"WITH {_grid(HOURLY)}, {EV}, {_instant(0, "event_type = 'view'")} SELECT 'view' AS event_type, t, 1.0::DOUBLE AS value FROM grid WHERE t NOT IN (SELECT t FROM s)")
 add("lbl_replace", "supplier_bal", 'label_replace(supplier_bal, "number", "n$1", "supplier", "[^0-9]*0*([0-9]+)")', "nation supplier number", ONCE, rf"WITH {_SUP} SELECT nation, supplier, CASE WHEN regexp_full_match(supplier, '[^0-9]*0*([0-9]+)') THEN 'n' || regexp_extract(supplier, '^[^0-9]*0*([0-9]+)$', 1) END AS number, t, round(value, 4) + 0.0 AS value FROM s")
 add("lbl_join", "supplier_bal", 'label_join(supplier_bal, "both", "/", "nation", "supplier")', "both", ONCE, f"WITH {_SUP} SELECT nation || '/' || supplier AS \"both\", t, round(value, 4) + 0.0 AS value FROM s")
-_HQ = f"""WITH {_grid(COARSE)}, h AS (SELECT event_type, (epoch_us(ts) // 1000 // {HOUR} + 1) * {HOUR} AS t, value FROM events), hh AS (SELECT h.* FROM h JOIN grid USING (t)),
+_HQ = f"""WITH {_grid(HOURLY)}, h AS (SELECT event_type, (epoch_us(ts) // 1000 // {HOUR} + 1) * {HOUR} AS t, value FROM events), hh AS (SELECT h.* FROM h JOIN grid USING (t)),
   b AS (SELECT event_type, t, le, count_if(value <= le)::DOUBLE AS c FROM hh, (SELECT unnest([10.0, 25.0, 50.0, 100.0, 200.0, 'inf'::DOUBLE]) AS le) GROUP BY 1, 2, 3),
   x AS (SELECT *, lag(le) OVER p AS low, coalesce(lag(c) OVER p, 0) AS under, max(c) OVER (PARTITION BY event_type, t) AS total FROM b WINDOW p AS (PARTITION BY event_type, t ORDER BY le)),
   y AS (SELECT *, row_number() OVER (PARTITION BY event_type, t ORDER BY le) AS r FROM x WHERE c >= 0.7 * total)
   SELECT event_type, t, round(CASE WHEN le = 'inf' THEN 200.0 ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * ((0.7 * total - under) / (c - under)) END, 4) + 0.0 AS value FROM y WHERE r = 1"""
-add("hist_quantile", "event_latency_bucket", "histogram_quantile(0.7, event_latency_bucket)", "event_type", COARSE, _HQ)
+add("hist_quantile", "event_latency_bucket", "histogram_quantile(0.7, event_latency_bucket)", "event_type", HOURLY, _HQ)
 
 # The benchmark's shapes
 _LONG = f"WITH {_grid(COARSE)}, {EV}, {_window(DAY)} "
