@@ -88,6 +88,39 @@ def test_plan_has_one_shuffle_for_rates(engine):
     assert "PythonUDF" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
 
 
+def exchanges(engine, text):
+    plan = engine.query_range(text, 0, 600_000, 60_000)._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Scan")
+
+
+def test_arithmetic_on_aggregates_costs_no_shuffle(engine):
+    for text in ("sum by (k) (rate(m[5m]))", "max(rate(m[5m]))", "quantile(0.5, m)", "sum without (k) (m)"):
+        assert exchanges(engine, f"{text} * 100") == exchanges(engine, text)
+
+
+def test_default_matching_needs_no_count(engine):
+    """Both sides have one name, so no two series of a side can match alike; on(k) has to look."""
+    plan = lambda text: engine.query_range(text, 0, 600_000, 60_000)._jdf.queryExecution().executedPlan().toString()
+    assert "raise_error" not in plan("rate(m[5m]) + rate(m[1m])") and "raise_error" in plan("rate(m[5m]) + on(k) rate(m[1m])")
+
+
+@pytest.mark.parametrize("f", ["stddev_over_time", "stdvar_over_time", "deriv"])
+def test_moments_come_from_panes(engine, f):
+    """Steps are made after samples are aggregated to panes: the explode stands above an aggregate over the samples."""
+    plan = engine.query_range(f"{f}(m[1h])", 0, 3_000_000, 60_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "Aggregate" in plan[plan.rindex("Generate") :]
+
+
+def test_moments_keep_their_digits(spark):
+    """Values of a billion that differ by ones, and a series whose first pane is NaN."""
+    e = Engine(spec.store(spark, [(1000, "big 1000000001 1000000002 1000000003 1000000004 1000000001"), (1000, "odd NaN 3 4 5 6"), (1000, "flat 7.3 7.3 7.3 7.3 7.3")]))
+    one = lambda text: e.query_instant(text, 4000).first()["value"]
+    assert one("stdvar_over_time(big[4s])") == pytest.approx(1.36, rel=1e-9) and one("stddev_over_time(flat[4s])") < 1e-12
+    assert one("stdvar_over_time(odd[3s])") == pytest.approx(1.25) and math.isnan(one("stdvar_over_time(odd[4s])"))
+    assert one("deriv(odd[3s])") == pytest.approx(1.0) and one("predict_linear(odd[3s], 10)") == pytest.approx(16.0)
+    assert one("predict_linear(odd[2s] offset 1s, 10)") == pytest.approx(16.0)
+
+
 def test_grid():
     assert Grid(0, 10, 3).size == 4 and Grid(0, 10, 3).last == 9
     with pytest.raises(ValueError):

@@ -39,7 +39,7 @@ def test_syntax_errors(text):
         parse(text)
 
 
-@pytest.mark.parametrize("text", ["rate(a)", "abs(a[5m])", "nope(a)", "a and 1", "a + bool b", "1 > 2", "{}", '{x=~".*"}', "sum(1)", "count_values(1, a)", "topk('a', b)", "a and on(x) group_left b", "1 + on(x) a", "a * on(x) group_left(x) b", "label_replace(a)", '"text" + 1', "time(1)"])
+@pytest.mark.parametrize("text", ["rate(a)", "abs(a[5m])", "nope(a)", "a and 1", "a + bool b", "1 > 2", "{}", '{x=~".*"}', '{x!~"foo"}', '{x=~"a|"}', '{x!="a"}', "sum(1)", "count_values(1, a)", "topk('a', b)", "a and on(x) group_left b", "1 + on(x) a", "a * on(x) group_left(x) b", "label_replace(a)", '"text" + 1', "time(1)"])
 def test_type_errors(text):
     with pytest.raises(QueryError):
         kind(parse(text))
