@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import LOWER, fold_of, hash_words, mix, remove, slices, written
 
-#: Words of the longest n-grams; bits of the filter for a stored n-gram and level (0.4 % false hits); probes of a level.
-ORDERS, GRAM_BITS, PROBES = 4, 32, 2
+#: Words of the longest n-grams; bits of the filter for a stored n-gram and level (with two probes of a level: 0.4 % false hits).
+ORDERS, GRAM_BITS = 4, 32
 #: The highest level that a count of 63 bits can have.
 TOP = 63
 #: Text bytes of a group of documents, on average; groups whose counts one task adds up; weight of the shorter n-gram's probability.
@@ -61,8 +61,8 @@ def level(counts: np.ndarray) -> np.ndarray:
 class LogBloom:
     """A filter in segments: a key's segment is given by its top bits, its places by the lower 40 bits and the level."""
 
-    def __init__(self, bits: np.ndarray, probes: int = PROBES, top: int = TOP):
-        self.bits, self.probes, self.top = bits, probes, top  # (segments, bytes of one) of uint8; the highest level stored
+    def __init__(self, bits: np.ndarray, top: int = TOP):
+        self.bits, self.top = bits, top  # (segments, bytes of one) of uint8; the highest level stored
 
     @staticmethod
     def segment(keys: np.ndarray, segments: int) -> np.ndarray:
@@ -70,9 +70,10 @@ class LogBloom:
         return ((keys >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int64)
 
     @staticmethod
-    def places(keys: np.ndarray, q: int, probe: int, size: int) -> np.ndarray:
-        salt = np.uint64((q * 0xD1B54A32D192ED03 + (probe * 2 + 1) * 0x94D049BB133111EB) & (2**64 - 1))
-        return (mix((keys & np.uint64((1 << 40) - 1)) + salt) % np.uint64(size)).astype(np.int64)
+    def places(keys: np.ndarray, q: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The two bits of a key at a level: the halves of one hash, each cut to the size."""
+        x = mix((keys & _LOW) + np.uint64(q * 0xD1B54A32D192ED03 & (2**64 - 1)))
+        return tuple((h * np.uint64(size) >> np.uint64(32)).view(np.int64) for h in (x & np.uint64(0xFFFFFFFF), x >> np.uint64(32)))
 
     @staticmethod
     def room(counts: np.ndarray) -> int:
@@ -80,14 +81,13 @@ class LogBloom:
         return max(64, GRAM_BITS * int(level(counts).sum()))
 
     @staticmethod
-    def fill(keys: np.ndarray, counts: np.ndarray, size: int, probes: int = PROBES) -> np.ndarray:
+    def fill(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
         """The bytes of one segment of `size` bits."""
         bits = np.zeros(size, bool)
         q = level(counts)
         for at in range(1, int(q.max(initial=0)) + 1):
-            some = keys[q >= at]
-            for p in range(probes):
-                bits[LogBloom.places(some, at, p, size)] = True
+            for places in LogBloom.places(keys[q >= at], at, size):
+                bits[places] = True
         return np.packbits(bits, bitorder="little")
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -97,9 +97,10 @@ class LogBloom:
         todo, q = np.arange(len(keys)), 1
         segment = self.segment(keys, segments)
         while len(todo) and q <= self.top:
-            for p in range(self.probes):
-                at = self.places(keys[todo], q, p, size)
-                todo = todo[(self.bits[segment[todo], at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            held = True
+            for at in self.places(keys[todo], q, size):
+                held &= self.bits[segment[todo], at >> 3] >> (at & 7).astype(np.uint8)
+            todo = todo[held & 1 == 1]
             out[todo] = 2.0 ** (q - 1)
             q += 1
         return out
@@ -107,12 +108,24 @@ class LogBloom:
 
 def _packed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of counts by key, sorted by key."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, int)
     return keys[cuts], np.add.reduceat(counts[order], cuts) if len(cuts) else counts[:0]
 
 
+def _shared(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The keys of all groups with the sums of their counts, sorted; and where each group's keys stand among them."""
+    every, sizes = np.concatenate(keys), np.fromiter(map(len, keys), np.int64, len(keys))
+    order = np.argsort(every)
+    every = every[order]
+    fresh = np.concatenate(([True], every[1:] != every[:-1]))
+    place = np.empty(len(every), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    cuts = np.flatnonzero(fresh)
+    return every[cuts], np.add.reduceat(np.concatenate(counts)[order], cuts), np.split(place, np.cumsum(sizes)[:-1])
+
+
 def _counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and how often each is learnt from. A key's top bit gives way to the mark of learning."""
     x = np.sort(keys << np.uint64(1) | learn.astype(np.uint64))
@@ -149,12 +162,12 @@ def _read(data: bytes, n: int) -> np.ndarray:
 
 def _levels(keys: list[np.ndarray], counts: list[np.ndarray], bits: int | None) -> list[bytes]:
     """Fills a segment with the keys of all groups and reads it for each: levels as bytes, 0 where level 1 is missing."""
-    k, c = _packed(np.concatenate(keys), np.concatenate(counts))
+    k, c, places = _shared(keys, counts)
     held = c > 0
     filled = LogBloom.fill(k[held], c[held], bits or LogBloom.room(c[held]))
     read = LogBloom(filled[None, :], top=int(level(c[held]).max(initial=0))).counts(k)
     q = np.where(read > 0, level(np.maximum(read, 1)), 0).astype(np.uint8)
-    return [q[np.searchsorted(k, x)].tobytes() for x in keys]
+    return [q[x].tobytes() for x in places]
 
 
 SENT, TOTALS = "group long, bucket long, keys binary, counts binary", "group long, bucket long, totals binary, n long, v long"
@@ -178,8 +191,8 @@ def _totals(counted: DataFrame, groups: int, words: int, bits: int | None, fan:
         bucket, keys, counts = opened(t)
         n = v = 0
         if bucket < words:
-            k, c = _packed(np.concatenate(keys), np.concatenate(counts))
-            back, n, v = [_numbers(c[np.searchsorted(k, x)]) for x in keys], int(c.sum()), int((c > 0).sum())
+            _, c, places = _shared(keys, counts)
+            back, n, v = [_numbers(c[x]) for x in places], int(c.sum()), int((c > 0).sum())
         else:
             back = _levels(keys, counts, bits)
         return pa.table([t.column("group"), t.column("bucket"), pa.array(back, pa.binary()), pa.array([n] * len(keys), pa.int64()), pa.array([v] * len(keys), pa.int64())], names=["group", "bucket", "totals", "n", "v"])
@@ -190,11 +203,10 @@ def _totals(counted: DataFrame, groups: int, words: int, bits: int | None, fan:
         return _table([(t.column("parent")[0].as_py(), bucket, k.tobytes() if bucket < words else _short(k), _numbers(c))], ["group", "bucket", "keys", "counts"])
 
     def pick(t: pa.Table, found: pa.Table) -> pa.Table:
-        bucket, keys, _ = opened(t)
-        k = _packed(np.concatenate(keys), np.zeros(sum(map(len, keys)), np.int64))[0]
+        k, _, places = _shared(*opened(t)[1:])
         c = _read(found.column("totals")[0].as_py(), len(k))
-        back = [_numbers(c[np.searchsorted(k, x)]) for x in keys]
-        return pa.table([t.column("group"), t.column("bucket"), pa.array(back, pa.binary()), *(pa.array([found.column(x)[0].as_py()] * len(keys), pa.int64()) for x in ("n", "v"))], names=["group", "bucket", "totals", "n", "v"])
+        back = [_numbers(c[x]) for x in places]
+        return pa.table([t.column("group"), t.column("bucket"), pa.array(back, pa.binary()), *(pa.array([found.column(x)[0].as_py()] * len(back), pa.int64()) for x in ("n", "v"))], names=["group", "bucket", "totals", "n", "v"])
 
     if groups <= fan:
         return counted.groupBy("bucket").applyInArrow(root, TOTALS)
@@ -211,7 +223,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, bits: int | None = None,
     Words are counted over all rows that are not held out (crc32 of doc_id as text, mod 7, is 2; null as 'null'). A
     null text is empty: its one token is the end. Repeated rows are counted and scored each. With no training rows
     all counts are 0 and both scores come from the smoothing alone. `bits` gives each order's filter a fixed size, whatever
-    the number of n-grams. Each of the orders 2 .. `orders` is counted in a pass of its own, whose shuffles go before the next.
+    the number of n-grams. Words and pairs are counted in one pass, each longer order in its own, whose shuffles go before the next.
     """
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold_of(F.col("doc_id"), mod) == held).alias("held_out"))
     size = kept.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
@@ -228,26 +240,28 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, bits: int | None = None,
                 grams.append(longer(grams[-1], tokens, sizes))
             yield first, sizes, grams
 
-    def counter(order: int):
-        return lambda t: count(t, order)  # Spark looks at the number of arguments
+    def counter(these: list[int]):
+        return lambda t: count(t, these)  # Spark looks at the number of arguments
 
-    def count(t: pa.Table, order: int) -> pa.Table:  # of a group: distinct n-grams with their counts in training texts, by bucket
+    def count(t: pa.Table, these: list[int]) -> pa.Table:  # of a group: distinct n-grams with their counts in training texts, by bucket
         group, learn, rows = t.column("group")[0].as_py(), ~t.column("held_out").to_numpy(zero_copy_only=False), []
         found, marks = [], []
-        for first, sizes, grams in grams_of(t, order):
-            found.append(grams[-1])
+        for first, sizes, grams in grams_of(t, these[-1]):
+            found.append(grams)
             marks.append(np.repeat(learn[first : first + len(sizes)], sizes))
-        if order == 1:
-            k, c = _packed(np.concatenate(found), np.concatenate(marks).astype(np.int64))
-            rows = [(group, j, k[x:y].tobytes(), _numbers(c[x:y])) for j, x, y in _cut(k, words)]
-        else:
-            k, c = _counted(np.concatenate(found), np.concatenate(marks))
-            rows = [(group, words + (order - 2) * segments + j, _short(k[x:y]), _numbers(c[x:y])) for j, x, y in _cut(k, segments)]
+        for order in these:
+            grams, mark = np.concatenate([g[order - 1] for g in found]), np.concatenate(marks)
+            if order == 1:
+                k, c = _packed(grams, mark.astype(np.int64))
+                rows += [(group, j, k[x:y].tobytes(), _numbers(c[x:y])) for j, x, y in _cut(k, words)]
+            else:
+                k, c = _counted(grams, mark)
+                rows += [(group, words + (order - 2) * segments + j, _short(k[x:y]), _numbers(c[x:y])) for j, x, y in _cut(k, segments)]
         return _table(rows, ["group", "bucket", "keys", "counts"])
 
     passes = []
-    for order in range(1, orders + 1):
-        counted = grouped.groupBy("group").applyInArrow(counter(order), SENT)
+    for these in [list(range(1, min(orders, 2) + 1)), *([x] for x in range(3, orders + 1))]:
+        counted = grouped.groupBy("group").applyInArrow(counter(these), SENT)
         if groups > fan:
             counted = written(counted, "counted")
         passes.append(written(_totals(counted, groups, words, bits and max(64, bits // segments // 8 * 8), fan), "counts"))
