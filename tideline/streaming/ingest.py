@@ -41,11 +41,19 @@ def ingest(samples: DataFrame, path: str, checkpoint: str, once: bool = True) ->
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
 
 
-def scrape_once(spark: SparkSession, texts: list[tuple[str, str, str | None]], at: int, honor_labels: bool = False) -> DataFrame:
-    """labels, ts and value of fetched texts (instance, job, text or None where the fetch failed)."""
-    rows = spark.createDataFrame(texts, "instance string, job string, text string")
-    lines = rows.select("instance", "job", F.col("text").isNotNull().cast("double").alias("up"), F.explode_outer(F.split("text", "\n")).alias("value"))
+def scraped_texts(rows: DataFrame, at: int) -> DataFrame:
+    """labels, ts and value of fetched texts (instance, job, honor_labels, extra labels, text or null where the fetch failed)."""
+    lines = rows.select("instance", "job", "honor_labels", "extra", F.col("text").isNotNull().cast("double").alias("up"), F.explode_outer(F.split("text", "\n")).alias("value"))
     kept = lines.withColumn("value", F.coalesce("value", F.lit("?")))
     blank = F.col("value").rlike(r"^\s*(#|$)")  # a scrape without samples still counts for `up`
     parsed = parse_lines(kept.withColumn("value", F.when(blank, "?").otherwise(F.col("value"))))
-    return scraped(parsed, F.lit(at), F.col("instance"), F.col("job"), honor_labels, F.col("up"))
+    own = F.filter("extra", lambda e: ~F.exists("labels", lambda o: o["key"] == e["key"]))  # a target's labels, where a sample has none of that name
+    parsed = parsed.withColumn("labels", F.when(F.col("labels").isNotNull(), F.array_sort(F.concat("labels", own)).cast(L.TYPE)))
+    how = lambda honor: scraped(parsed.filter(F.col("honor_labels") == honor), F.lit(at), F.col("instance"), F.col("job"), honor, F.col("up"))
+    return how(False).unionByName(how(True))
+
+
+def scrape_once(spark: SparkSession, texts: list[tuple[str, str, str | None]], at: int, honor_labels: bool = False) -> DataFrame:
+    """labels, ts and value of fetched texts (instance, job, text or None where the fetch failed)."""
+    rows = spark.createDataFrame(texts, "instance string, job string, text string")
+    return scraped_texts(rows.withColumns({"honor_labels": F.lit(honor_labels), "extra": F.array().cast(L.TYPE)}), at)
