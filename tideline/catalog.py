@@ -5,19 +5,22 @@ Values are rounded to four decimals on both sides: sums of doubles depend on the
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.api import Api
 from tideline.engine import Engine, result_rows
 from tideline.functions import labels as L
 from tideline.rules import AlertRule, RecordingRule, alert_states, record
 from tideline.sources.exposition import parse_lines, scraped
-from tideline.sources.store import store_of
+from tideline.sources.store import Store, clear, compact, load, save, scratch, store_of
 from tideline.sources.tables import EPOCH, millis, stores
 from tideline.sources.wide import from_wide
+from tideline.streaming.ingest import ingest
 
 DAY, HOUR = 86_400_000, 3_600_000
 #: All of the events' month (2024-01-01 to 2024-01-31) by hours and by quarter days; all days of the orders (1995 to 2001).
@@ -111,7 +114,7 @@ add("rng_quantile_over_time", "event_value", "quantile_over_time(0.3, event_valu
 _SEEN = "seen AS (SELECT *, lag(value) OVER p AS pv, lag(ts) OVER p AS pts FROM ev WINDOW p AS (PARTITION BY event_type ORDER BY ts))"
 _ENDS = """ends AS (SELECT event_type, t, count(*) AS n, min(ts) AS t0, max(ts) AS t1, arg_min(value, ts) AS v0, arg_max(value, ts) AS v1, arg_max(pv, ts) AS pv1, arg_max(pts, ts) AS pt1,
   sum(CASE WHEN value < pv THEN pv ELSE 0 END) - coalesce(arg_min(CASE WHEN value < pv THEN pv ELSE 0 END, ts), 0) AS fell,
-  sum((value < pv)::INT) - coalesce(arg_min((value < pv)::INT, ts), 0) AS resets, sum((value <> pv)::INT) - coalesce(arg_min((value <> pv)::INT, ts), 0) AS changes FROM w GROUP BY 1, 2)"""
+  sum((value < pv)::INT) - arg_min(coalesce((value < pv)::INT, 0), ts) AS resets, sum((value <> pv)::INT) - arg_min(coalesce((value <> pv)::INT, 0), ts) AS changes FROM w GROUP BY 1, 2)"""
 
 
 def _rate(counter: bool, span: int, per: str) -> str:
@@ -296,10 +299,70 @@ def scrape_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*_labelled(out, "__name__", "instance", "job", "user"), "ts", "value")
 
 
-for _q in (import_wide, exposition_text, ingest_last_wins, alert_two_runs, recording_rule, series_lookup, label_values, json_result, scrape_up):
+def _user_hours(spark: SparkSession, sf_dir: str, where: Column | None = None, more: float = 0.0) -> Store:
+    """Sums of each user's hours as a store; `more` is added to each."""
+    e = _events(spark, sf_dir)
+    hours = (e if where is None else e.filter(where)).groupBy("user_id", (F.floor(F.col("ms") / HOUR) * HOUR).alias("ts")).agg((F.sum("value") + more).alias("value"))
+    return store_of(hours.select(L.of_columns({L.NAME: F.lit("user_hour"), "user_id": F.col("user_id")}).alias("labels"), "ts", "value"))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    rows = Engine(load(spark, path)).query_range("user_hour", HOURLY[0], HOURLY[1], HOUR)
+    return rows.select(label("user_id").alias("user_id"), "t", (F.round(F.col("value") + SHIFT, 4) + 0.0).alias("value"))
+
+
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Saved, partly saved again, one day compacted, and queried: the last written counts."""
+    path = scratch(spark, "store")
+    save(_user_hours(spark, sf_dir), path)
+    save(_user_hours(spark, sf_dir, F.col("user_id") % 2 == 0, 1000.0), path)
+    compact(spark, path, [HOURLY[0] // DAY + 3])
+    return _stored(spark, path)
+
+
+CLEARED = (HOURLY[0] + 5 * DAY + 7 * HOUR, HOURLY[0] + 9 * DAY + 3 * HOUR)
+
+
+def store_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A saved store without a range of four days, which begins and ends within a day."""
+    path = scratch(spark, "store")
+    save(_user_hours(spark, sf_dir), path)
+    clear(spark, path, *CLEARED)
+    return _stored(spark, path)
+
+
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as a stream, each twice, taken into a store once; and the store queried."""
+    path, mark = scratch(spark, "store"), scratch(spark, "mark")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("twice", F.explode(F.array(F.lit(1), F.lit(2))))
+    labels = L.of_columns({L.NAME: F.lit("event"), "user_id": F.col("user_id"), "event_type": F.col("event_type"), "event_id": F.col("event_id")})
+    ingest(e.select(labels.alias("labels"), millis(e.ts).alias("ts"), "value", e.ts.cast("timestamp").alias("at")), path, mark).awaitTermination()
+    rows = Engine(load(spark, path)).query_range("count by (event_type) (count_over_time(event[6h]))", *COARSE)
+    return rows.select(label("event_type").alias("event_type"), "t", "value")
+
+
+def http_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of a range query's answer over HTTP: labels, times in seconds and values as text, a row for each point."""
+    path = scratch(spark, "store")
+    save(stores(spark, sf_dir, "event_value"), path)
+    status, body = Api(spark, path).handle("GET", "/api/v1/query_range", {"query": ["count_over_time(event_value[6h])"], "start": [str(COARSE[0] // 1000)], "end": [str(COARSE[1] // 1000)], "step": ["6h"]})
+    if status != 200:
+        raise RuntimeError(body["error"])
+    body = json.loads(json.dumps(body))
+    points = [(m["metric"]["event_type"], float(t), v) for m in body["data"]["result"] for t, v in m["values"]]
+    return spark.createDataFrame(points, "event_type string, seconds double, text string")
+
+
+for _q in (store_round_trip, store_cleared, ingest_stream, http_result, import_wide, exposition_text, ingest_last_wins, alert_two_runs, recording_rule, series_lookup, label_values, json_result, scrape_up):
     QUERIES[_q.__name__] = _q
 _V = f"round({{}} + {SHIFT:.7f}::DOUBLE, 4) + 0.0 AS value"
+_HOURS = f"h AS (SELECT user_id, (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS t, sum(value) AS v FROM events GROUP BY 1, 2)"
 ORACLE_SQL |= {
+    "store_round_trip": f"WITH {_HOURS} SELECT user_id::VARCHAR AS user_id, t, {_V.format('(v + CASE WHEN user_id % 2 = 0 THEN 1000 ELSE 0 END)')} FROM h",
+    "store_cleared": f"WITH {_HOURS} SELECT user_id::VARCHAR AS user_id, t, {_V.format('v')} FROM h WHERE NOT t BETWEEN {CLEARED[0]} AND {CLEARED[1]}",
+    "ingest_stream": f"WITH {_grid(COARSE)} SELECT event_type, t, count(*)::DOUBLE AS value FROM grid JOIN events ON epoch_us(ts) // 1000 <= t AND epoch_us(ts) // 1000 >= t - {6 * HOUR} GROUP BY 1, 2",
+    "http_result": f"WITH {_grid(COARSE)}, {EV} SELECT event_type, t / 1000.0::DOUBLE AS seconds, count(*)::VARCHAR AS \"text\" FROM grid JOIN ev ON ts <= t AND ts >= t - {6 * HOUR} GROUP BY 1, 2",
     "import_wide": f"SELECT 'hourly' AS name, event_type, (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS ts, {_V.format('sum(value)')} FROM events GROUP BY 1, 2, 3",
     "exposition_text": "SELECT 'app:' || event_type AS name, user_id::VARCHAR AS \"user\", 'a \"b\"' AS note, value, epoch_us(ts) // 1000 AS ts FROM events",
     "ingest_last_wins": f"SELECT user_id::VARCHAR AS user_id, (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS ts, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",
