@@ -12,7 +12,8 @@ from tideline.engine import Engine
 from tideline.functions import labels as L
 from tideline.rules import AlertRule, RecordingRule, RuleRunner, Scheduler, alert_labels, alert_states, parse_groups
 from tideline.sources.exposition import parse_lines, parse_metric
-from tideline.sources.store import clear, compact, load, save
+from tideline.sources import store as store_module
+from tideline.sources.store import clear, compact, days_of, load, save
 from tideline.sources.wide import from_wide
 from tideline.streaming.ingest import ingest, scrape_once, text_stream
 
@@ -76,6 +77,66 @@ def test_last_written_wins(spark, tmp_path):
     assert rows(last_wins=False) == rows() == [(0, 1.0), (1000, 9.0), (2000, 3.0)]
 
 
+def test_days_that_were_written_once_are_read_as_they_are(spark, tmp_path):
+    path = str(tmp_path / "s")
+    day = 86_400_000
+    save(spec.store(spark, [(day, "a 1 2 3"), (1000, "b 5x10")]), path)
+    plan = lambda: load(spark, path).samples._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan()
+    save(spec.store(spark, [(day, "a _ 7")]), path)
+    assert {d: len(s) for d, s in days_of(spark, path).items()} == {0: 1, 1: 2, 2: 1} and "Aggregate" in plan()
+    rows = lambda: sorted((r["ts"], r["value"]) for r in load(spark, path).samples.filter(f"ts % {day} = 0 and ts > 0").collect())
+    assert rows() == [(day, 7.0), (2 * day, 3.0)]
+    compact(spark, path)
+    assert {d: len(s) for d, s in days_of(spark, path).items()} == {0: 1, 1: 1, 2: 1} and "Aggregate" not in plan() and rows() == [(day, 7.0), (2 * day, 3.0)]
+
+
+def test_a_day_rewritten_counts_from_its_name_on(spark, tmp_path, monkeypatch):
+    """A run that dies before the renaming leaves the old day; one that dies after it leaves the new day."""
+    path = str(tmp_path / "s")
+    save(spec.store(spark, [(1000, "a 1 2 3 4")]), path)
+    rows = lambda: sorted(r["ts"] for r in load(spark, path).samples.collect())
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store_module, "_delete", dies)  # after the new folder has its name
+        with pytest.raises(KeyboardInterrupt):
+            clear(spark, path, 1000, 2000)
+    assert rows() == [0, 3000] and len(list((tmp_path / "s/samples/bucket=0").glob("seq=*"))) == 2
+    with monkeypatch.context() as m:
+        m.setattr(store_module, "_last_written", dies)  # before
+        with pytest.raises(KeyboardInterrupt):
+            clear(spark, path, 0, 0)
+    assert rows() == [0, 3000]
+    clear(spark, path, 0, 0)
+    assert rows() == [3000] and len(list((tmp_path / "s/samples/bucket=0").glob("seq=*"))) == 1
+
+
+def test_clear_drops_whole_days(spark, tmp_path):
+    path, day = str(tmp_path / "s"), 86_400_000
+    save(spec.store(spark, [(day // 4, "a 0+1x15")]), path)
+    clear(spark, path, day // 2, 3 * day - 1)
+    assert sorted(days_of(spark, path)) == [0, 3]
+    assert sorted(r["value"] for r in load(spark, path).samples.collect()) == [0, 1, 12, 13, 14, 15]
+
+
+def test_a_day_gets_files_by_its_size(spark, tmp_path):
+    from tideline.sources.store import store_of
+
+    rows = spark.range(0, 200_000, 1, 8).select(L.of_columns({L.NAME: F.lit("m"), "k": (F.col("id") % 50).cast("string")}).alias("labels"), (F.col("id") * 400).alias("ts"), F.rand().alias("value"))
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512k")
+    try:
+        save(store_of(rows), str(tmp_path / "big"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    save(spec.store(spark, [(1000, "a 1 2 3")]), str(tmp_path / "small"))
+    files = lambda name: len(list((tmp_path / name / "samples").glob("bucket=0/*/*.parquet")))
+    assert files("big") > 3 and files("small") == 1
+
+
 def test_alerts(spark):
     store = spec.store(spark, [(1000, 'foo{s="a"} 1 2 3 4 0 5'), (1000, 'foo{s="b"} 0 0 3 3 3 3')])
     engine, rule = Engine(store), AlertRule("hot", "foo > 2", wait=1000, labels={"team": "x"})
@@ -152,6 +213,64 @@ def test_alert_stream(spark, tmp_path):
     assert sorted(x[2:] for x in out) == [(0, 0, "PENDING"), (1000, 0, "FIRING"), (2000, 0, "INACTIVE"), (3000, 3000, "PENDING")]
 
 
+def test_alert_stream_ends_series_that_send_nothing(spark, tmp_path):
+    """A series that no longer alerts has no rows: it ends, and the next alert begins anew."""
+    from tideline.streaming.alerts import alert_stream
+
+    folder, out = tmp_path / "evaluated", []
+    schema = "rule string, series string, ts long, value double, wait long"
+    minute = 60_000
+    batches = [[("r", "s", k * minute, 9.0, minute) for k in range(3)], [("r", None, 20 * minute, None, minute)], [("r", None, 21 * minute, None, minute)], [("r", "s", 30 * minute, 9.0, minute)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        q = alert_stream(spark.readStream.schema(schema).parquet(str(folder))).writeStream.foreachBatch(lambda b, _: out.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    assert sorted((x[2] // minute, x[3] // minute, x[4]) for x in out) == [(0, 0, "PENDING"), (1, 0, "FIRING"), (2, 0, "FIRING"), (7, 0, "INACTIVE"), (30, 30, "PENDING")]
+
+
+def test_scrape_loop(spark, tmp_path):
+    """Targets on a local server: one answers, one fails, one is too slow; each has its up, and is asked again when due."""
+    import http.server
+    import time as clock
+
+    from tideline.streaming.scrape import ScrapeLoop
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            if self.path == "/slow":
+                clock.sleep(6)
+            body = f'hits{{job="own"}} {len(asked)}\nplain 7\n'.encode()
+            self.send_response(500 if self.path == "/broken" else 200)
+            self.end_headers()
+            try:
+                self.wfile.write(body)
+            except OSError:
+                pass
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host = f"127.0.0.1:{server.server_port}"
+    job = lambda name, path, **more: {"job_name": name, "metrics_path": path, "static_configs": [{"targets": [host], "labels": {"zone": "z"}}], **more}
+    found = Discovery()
+    found.apply({"global": {"scrape_interval": "10s"}, "scrape_configs": [job("good", "/metrics"), job("kept", "/kept", honor_labels=True, scrape_interval="60s"), job("bad", "/broken"), job("late", "/slow")]})
+    path = str(tmp_path / "s")
+    loop = ScrapeLoop(spark, path, found, timeout=2)
+    assert [loop.run_due(t) for t in (1000, 2000, 12_000)] == [4, 0, 3]
+    server.shutdown()
+    store = load(spark, path)
+    rows = store.samples.join(store.series, "sid").select("name", L.to_map(F.col("labels")).alias("m"), "ts", "value").collect()
+    up = {(r["m"]["job"], r["ts"]): r["value"] for r in rows if r["name"] == "up"}
+    assert up == {("good", 1000): 1.0, ("kept", 1000): 1.0, ("bad", 1000): 0.0, ("late", 1000): 0.0, ("good", 12_000): 1.0, ("bad", 12_000): 0.0, ("late", 12_000): 0.0}
+    assert {(r["m"]["job"], r["m"]["instance"], r["m"]["zone"]) for r in rows if r["name"] == "hits"} == {("good", host, "z"), ("own", host, "z")}
+    assert sorted((r["m"]["job"], r["ts"], r["value"]) for r in rows if r["name"] == "plain") == [("good", 1000, 7.0), ("good", 12_000, 7.0), ("kept", 1000, 7.0)]
+
+
 def test_user_function(spark):
     from tideline.plans.compiler import register_function
 
