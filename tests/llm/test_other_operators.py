@@ -95,6 +95,24 @@ def test_mixing_against_sql(docs, none, rows):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    """A thousand sources over several ranges, some of equal size: as the SQL has it, where windows hold all of them."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, "w " * rng.choice([0, 3, 3, 17, 90]), None if k % 1000 == 7 else f"host{rng.randrange(900):03d}") for k in range(2500)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((tuple(r) for r in mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "size", "source_size", "target", "taken").collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    con = duckdb.connect()
+    con.register("documents", pa.table({n: [r[k] for r in rows] for k, n in enumerate(("doc_id", "text", "source"))}))
+    want = sorted(con.sql(mixing.SQL).fetchall(), key=str)
+    assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want] and all(abs(x[3] - y[3]) < 1e-9 for x, y in zip(got, want, strict=True))
+
+
 def test_mixing_of_words_none(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "one two three four", None)], "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["size"], r["target"], r["taken"]) for r in mixing.plan_mix(df, block=1).collect()}

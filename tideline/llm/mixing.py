@@ -8,7 +8,9 @@ takes its first blocks, beginning anew after the last, so that no document is ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import REST, brought_back, set_aside, word_count, written
@@ -22,41 +24,76 @@ SEED = "mix-1"
 SMALL = 20_000
 
 
-def apportion(df: DataFrame, votes: str, seats: str, key: list[str], within: list[str], out: str) -> DataFrame:
-    """Adds `out`: the seats that each row gets of its group's `seats` by Sainte-Laguë.
+def in_order(df: DataFrame, order: list[str], sums: dict[str, str] | None = None) -> DataFrame:
+    """Adds _pos (from 1, by `order`) and for each name in `sums` the sum of a column over the rows before.
+
+    Ranges of the order are numbered each by itself; only the ranges' totals, a row for each partition of the shuffle, meet in one task.
+    """
+    sums = sums or {}
+    ranges = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    zero = {k: F.lit(0).cast(dict(df.dtypes)[c]) for k, c in sums.items()}
+    so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), *(F.sum(c).alias(k) for k, c in sums.items()))
+    begin = totals.select("_range", F.coalesce(F.sum("_rows").over(so_far), F.lit(0)).alias("_first"), *(F.coalesce(F.sum(k).over(so_far), zero[k]).alias(f"_0{k}") for k in sums))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    out = ranges.join(begin, "_range").withColumn("_pos", F.col("_first") + F.row_number().over(inside))
+    for k, c in sums.items():
+        out = out.withColumn(k, F.col(f"_0{k}") + F.coalesce(F.sum(c).over(before), zero[k]))
+    return out.select(*df.columns, "_pos", *sums)
+
+
+def _seats(df: DataFrame, votes: str, seats: Column, total: Column, n: Column) -> DataFrame:
+    """Adds _sure and _most, between which the seats of a row lie.
 
     A seat s counts votes / (2 s - 1). With n rows and N seats, the divisor at which just N seats are filled lies
     between those of N - n/2 and N + n/2: seats beyond doubt are counted in closed form, and only the some 2 n seats
-    between the two are ranked. Ties go to the smaller key.
+    between the two have to be ranked.
     """
-    w = Window.partitionBy(*within)
-    total, n = F.sum(votes).over(w), F.count(F.lit(1)).over(w)
-    bounds = df.withColumn("_total", total).withColumn("_n", n)
-    sure = F.when((F.col(seats) - F.col("_n") / 2 > 0) & (F.col("_total") > 0), F.floor(F.col(votes) * (F.col(seats) - F.col("_n") / 2) / F.col("_total") + 0.5)).otherwise(0).cast("long")
-    most = F.when(F.col("_total") > 0, F.floor(F.col(votes) * (F.col(seats) + F.col("_n") / 2) / F.col("_total") + 0.5) + 1).otherwise(0).cast("long")
-    bounds = bounds.withColumn("_sure", sure).withColumn("_most", most).withColumn("_left", F.col(seats) - F.sum("_sure").over(w))
+    sure = F.when((seats - n / 2 > 0) & (total > 0), F.floor(F.col(votes) * (seats - n / 2) / total + 0.5)).otherwise(0).cast("long")
+    most = F.when(total > 0, F.floor(F.col(votes) * (seats + n / 2) / total + 0.5) + 1).otherwise(0).cast("long")
+    return df.withColumn("_sure", sure).withColumn("_most", most)
+
+
+def _open(bounds: DataFrame, votes: str, columns: list[str]) -> DataFrame:
+    """The seats in doubt, with _less: the quotient's negative, so that the highest comes first."""
     seat = F.explode(F.when(F.col("_most") > F.col("_sure"), F.sequence(F.col("_sure") + 1, F.col("_most"))))
-    open_seats = bounds.filter(F.col(votes) > 0).select(*within, *key, "_left", votes, seat.alias("_seat"))
-    order = Window.partitionBy(*within).orderBy(F.desc(F.col(votes) / (2 * F.col("_seat") - 1)), *key)
-    extra = open_seats.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col("_left")).groupBy(*within, *key).agg(F.count(F.lit(1)).alias("_extra"))
+    return bounds.filter(F.col(votes) > 0).select(*columns, votes, seat.alias("_seat")).withColumn("_less", -(F.col(votes) / (2 * F.col("_seat") - 1)))
+
+
+def apportion(df: DataFrame, votes: str, seats: str, key: list[str], within: list[str], out: str) -> DataFrame:
+    """Adds `out`: the seats that each row gets of its group's `seats` by Sainte-Laguë. Ties go to the smaller key."""
+    w = Window.partitionBy(*within)
+    bounds = _seats(df.withColumn("_total", F.sum(votes).over(w)).withColumn("_n", F.count(F.lit(1)).over(w)), votes, F.col(seats), F.col("_total"), F.col("_n"))
+    bounds = bounds.withColumn("_left", F.col(seats) - F.sum("_sure").over(w))
+    ranked = _open(bounds, votes, [*within, *key, "_left"]).withColumn("_rank", F.row_number().over(w.orderBy("_less", *key)))
+    extra = ranked.filter(F.col("_rank") <= F.col("_left")).groupBy(*within, *key).agg(F.count(F.lit(1)).alias("_extra"))
     return bounds.join(extra, [*within, *key], "left").withColumn(out, F.col("_sure") + F.coalesce("_extra", F.lit(0))).drop("_total", "_n", "_sure", "_most", "_left", "_extra")
 
 
+def apportion_all(df: DataFrame, votes: str, seats: int, key: list[str], out: str) -> DataFrame:
+    """apportion() with all rows in one group, however many they are: no window holds them all."""
+    total, n = df.agg(F.sum(votes), F.count(F.lit(1))).first()
+    bounds = _seats(df, votes, F.lit(seats), F.lit(total or 0.0), F.lit(n))
+    left = seats - (bounds.agg(F.sum("_sure")).first()[0] or 0)
+    extra = in_order(_open(bounds, votes, key), ["_less", *key]).filter(F.col("_pos") <= left).groupBy(*key).agg(F.count(F.lit(1)).alias("_extra"))
+    return bounds.join(extra, key, "left").withColumn(out, F.col("_sure") + F.coalesce("_extra", F.lit(0))).drop("_sure", "_most", "_extra")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """Adds weight and target to one row a source (_null, _source, source_size).
 
     Targets are min(cap, weight * level), where the level makes them add up: what capped sources leave is shared by weight.
+    In the order of cap / weight, the level is that of the first source which it does not fill.
     """
-    every = Window.partitionBy(F.lit(0))
-    by_name = every.orderBy("_null", "_source")
-    s = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")).cast("double"))
-    s = s.withColumn("_cap", F.col("source_size") * F.lit(most)).withColumn("_need", F.sum("source_size").over(every) * F.lit(share))
-    by_level = every.orderBy(F.col("_cap") / F.col("weight"), "_null", "_source")
-    before = F.coalesce(F.sum("_cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    s = s.withColumn("_level", (F.col("_need") - before) / rest).withColumn("_at", F.row_number().over(by_level))
-    level = F.min_by(F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.col("_level")), F.when(F.col("_level") * F.col("weight") <= F.col("_cap"), F.col("_at"))).over(every)
-    return s.withColumn("target", F.when(level.isNull(), F.col("_cap")).otherwise(F.least(F.col("_cap"), F.col("weight") * level))).drop("_cap", "_need", "_level", "_at")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("_pos") - 1) % len(weights) + 1).cast("int")).cast("double")
+    s = in_order(sources, ["_null", "_source"]).withColumn("weight", weight).drop("_pos").withColumn("_cap", F.col("source_size") * F.lit(most))
+    s = in_order(s.withColumn("_at", F.col("_cap") / F.col("weight")), ["_at", "_null", "_source"], {"_below": "_cap", "_lighter": "weight"})
+    every, heavy = s.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit((every or 0) * share) - F.col("_below")) / (F.lit(heavy or 0.0) - F.col("_lighter"))
+    level = s.filter(level * F.col("weight") <= F.col("_cap")).agg(F.min_by(level, "_pos")).first()[0]
+    target = F.col("_cap") if level is None else F.least(F.col("_cap"), F.col("weight") * F.lit(level))
+    return s.withColumn("target", target).drop("_cap", "_at", "_pos", "_below", "_lighter")
 
 
 def plan_mix(docs: DataFrame, carry: list[str] = [], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: str = SEED) -> DataFrame:  # noqa: B006
@@ -73,8 +110,9 @@ def plan_mix(docs: DataFrame, carry: list[str] = [], weights: tuple[int, ...] =
         "sizes",
     )
     sources = sized.groupBy("_null", "_source").agg(F.sum("size").alias("source_size"), F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("long").alias("_shards"))
-    sources = targets(sources, weights, share, most).withColumn("_all", F.lit(0)).withColumn("_blocks", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5).cast("long"))
-    sources = apportion(sources, "target", "_blocks", ["_null", "_source"], ["_all"], "quota").select("_null", "_source", "_shards", "source_size", "target", "quota")
+    sources = written(targets(written(sources, "sums"), weights, share, most), "targets")
+    blocks = math.floor((sources.agg(F.sum("target")).first()[0] or 0.0) / block + 0.5)
+    sources = apportion_all(sources, "target", blocks, ["_null", "_source"], "quota").select("_null", "_source", "_shards", "source_size", "target", "quota")
     sources = written(sources, "sources")
     if sources.count() <= SMALL:  # a few MB at most; beyond that Spark shuffles, and splits a source that holds too many rows
         sources = F.broadcast(sources)
