@@ -6,6 +6,7 @@ import random
 import resource
 import struct
 import time
+import tracemalloc
 import zipfile
 import zlib
 
@@ -202,3 +203,21 @@ def test_a_member_is_read_again_from_its_offset(tmp_path, monkeypatch):
     rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
     assert [r["error"] is None for r in rows] == [True, False, True] and rows[1]["media"] is None
     assert pafs.LocalFileSystem().get_file_info(str(tmp_path / "a.zip")).is_file
+
+
+def test_variants_of_near_copies_are_bounded():
+    """A family whose fingerprints begin alike is made into variants a part at a time, and all its links are found."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**64, dtype=np.uint64)
+    fps = np.unique(base ^ np.packbits(rng.random((6000, 64)) < 0.04, axis=1, bitorder="little").view(np.uint64).ravel())
+    head = int(base) >> 56
+    tracemalloc.start()
+    u, v = simhash.meet(fps, 8, head)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    near = fps[np.bitwise_count((fps >> np.uint64(56)) ^ np.uint64(head)) == 0][:400]
+    root = dict(zip(u.tolist(), v.tolist(), strict=True))
+    for f in near.tolist():
+        for g in near[np.bitwise_count(near ^ np.uint64(f)) <= 4].tolist():
+            assert root.get(f, f) == root.get(g, g)

@@ -10,7 +10,10 @@ the task, which passes on one edge for each that is no root there: a group of n
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +25,8 @@ from tideline.llm.common import LOWER, brought_back, set_aside, written
 from tideline.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
-#: Variants that a task makes at once; fingerprints of a bucket beyond which it is split.
-AT_ONCE, FULL = 1 << 21, 1 << 20
+#: Variants that a task holds at once; fingerprints of a bucket beyond which it is split.
+AT_ONCE, FULL = 1 << 20, 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -54,6 +57,7 @@ def fingerprints(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return out
 
 
+@functools.cache
 def masks(bits: int, most: int, shift: int = 0) -> list[np.ndarray]:
     """XOR masks of `bits` bits (moved up by `shift`), by the number of set bits 0..most."""
     return [np.array([sum(1 << (b + shift) for b in c) for c in combinations(range(bits), n)], np.uint64) for n in range(most + 1)]
@@ -88,45 +92,54 @@ def _roots(fps: np.ndarray, a: np.ndarray, b: np.ndarray, parent: np.ndarray) ->
         a, b = low, high
 
 
+def balls(fps: np.ndarray, prefix: int, bucket: int, half: int = DISTANCE // 2, width: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(variant, place in fps) of all variants within `half` bits that begin with the `prefix` bits of `bucket`, in parts sorted by both.
+
+    Fingerprints are the leading `width` bits. Variants are made by their next bits, split until a part has at most
+    AT_ONCE of them: a variant has one beginning, so each bit parts them, however alike the fingerprints are. At full
+    width a part has one variant for each fingerprint near one value, never more than there are fingerprints.
+    """
+    named = max(1, len(fps).bit_length())
+    ball = {(rest, n): sum(comb(rest, k) for k in range(n + 1)) for rest in range(width - prefix + 1) for n in range(half + 1)}
+    used = np.bitwise_count((fps >> np.uint64(64 - prefix)) ^ np.uint64(bucket)) if prefix else np.zeros(len(fps), np.uint8)
+    near = np.flatnonzero(used <= half)
+    parts = [(prefix, near, used[near])]
+    while parts:
+        bits, at, used = parts.pop()
+        if not len(at):
+            continue
+        rest = width - bits
+        many = sum(ball[rest, half - f] * int(n) for f, n in enumerate(np.bincount(used, minlength=half + 1)))
+        if rest and (many > AT_ONCE or rest + named > 64):
+            bit = (fps[at] >> np.uint64(63 - bits)).astype(np.uint8) & 1
+            for x in (0, 1):
+                spent = used + (bit != x)
+                parts.append((bits + 1, at[spent <= half], spent[spent <= half]))
+            continue
+        tail = (fps[at] >> np.uint64(64 - width)) & np.uint64((1 << rest) - 1)
+        tails, found = masks(rest, half), []
+        for f in range(half + 1):
+            some = used == f
+            for m in tails[: half - f + 1]:
+                found.append((((tail[some][:, None] ^ m[None, :]) << np.uint64(named)) | at[some].astype(np.uint64)[:, None]).ravel())
+        both = np.concatenate(found)
+        both.sort()
+        yield both >> np.uint64(named), (both & np.uint64((1 << named) - 1)).astype(np.int64)
+
+
 def meet(fps: np.ndarray, prefix: int, bucket: int, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fingerprint, root) between fingerprints of which some variant begins with the `prefix` bits of `bucket`.
 
-    The variants of the bucket are made by their next bits, so that some two million are held at once. Fingerprints
-    that share a variant are tied to the first of them, after their distance is verified.
+    Fingerprints that share a variant are tied to the first of them, after their distance is verified.
     """
-    half, low = distance // 2, 64 - prefix
     fps = np.unique(fps)
     parent = np.arange(len(fps))
-    flips = np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(bucket)).astype(np.int64)
-    per = sum(len(m) for m in masks(low, half))
-    step = 0
-    while (len(fps) * per >> step) > 4 * AT_ONCE and step < low - half:
-        step += 1
-    rest = low - step
-    tails = masks(rest, half)
-    body = np.uint64((1 << low) - 1)
-    for part in range(1 << step):
-        used = flips + np.bitwise_count(((fps & body) >> np.uint64(rest)) ^ np.uint64(part)).astype(np.int64)
-        keys, who = [], []
-        for f in range(half + 1):
-            at = np.flatnonzero(used == f)
-            if not len(at):
-                continue
-            tail = fps[at] & np.uint64((1 << rest) - 1)
-            for m in tails[: half - f + 1]:
-                keys.append((tail[:, None] ^ m[None, :]).ravel())
-                who.append(np.repeat(at.astype(np.int32), len(m)))
-        if not keys:
-            continue
-        key, at = np.concatenate(keys), np.concatenate(who)
-        order = np.argsort(key, kind="stable")
-        key, at = key[order], at[order]
+    for key, at in balls(fps, prefix, bucket, distance // 2):
         same = np.flatnonzero(key[1:] == key[:-1])
         if not len(same):
             continue
         first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
-        a, b = at[first[same + 1]].astype(np.int64), at[same + 1].astype(np.int64)
-        pair = np.unique(np.minimum(a, b) * len(fps) + np.maximum(a, b))
+        pair = np.unique(at[first[same + 1]] * len(fps) + at[same + 1])
         a, b = pair // len(fps), pair % len(fps)
         true = (np.bitwise_count(fps[a] ^ fps[b]) <= distance) & (a != b)
         _roots(fps, a[true], b[true], parent)
